@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: name, function, and SQL if any."""
+"""The registered queries of this subpackage: name and function."""
 
 from __future__ import annotations
 
@@ -6,13 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontaminate import contamination_report
 from tessera.llm.exact_dedup import exact_groups
+from tessera.llm.html_extract import extract_text
 from tessera.llm.line_dedup import line_report
+from tessera.llm.minhash_dedup import near_groups
+from tessera.llm.packing import pack
+from tessera.llm.secret_scan import scan_secrets
+from tessera.llm.sharding import hilbert_shards
+from tessera.llm.suffix_dedup import suffix_report
+from tessera.llm.toxicity import toxicity_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(_table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_report(_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +52,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op10_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"), words=4, threshold=0.8)
+
+
 def queries() -> dict:
     found = [(name, f) for name, f in globals().items() if name.startswith("op") and callable(f)]
     return dict(sorted(found, key=lambda x: int(x[0][2:].split("_")[0])))
