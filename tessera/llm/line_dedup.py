@@ -187,7 +187,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     gone, owner = fresh(rows, "drops", "owner")
     drops = stage.put(drops.select(F.col("doc_id").alias(owner), F.col("keys").alias(gone)), "drops")
-    joined = rows.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col(owner)), "left").drop(owner)
+    # a sort-merge join at every size: the lists grow with the corpus, so none is broadcast
+    joined = rows.join(drops.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(owner)), "left").drop(owner)
     names = [*rows.columns, "n_lines", "n_dropped"]
     schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema) + ", n_lines long, n_dropped long"
     return joined.mapInArrow(_drop(names, "text", gone, min_chars), schema)
