@@ -1 +1,11 @@
-"""Tessera: a Spark-native tabular classifier and analytics engine."""
+"""Tessera: a Spark-native engine for a coarse-tree, linear-leaf classifier.
+
+Functions that run on executors are shipped by value, so the workers need no
+copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
