@@ -10,13 +10,15 @@ each other. The SuperMinHash signatures of classes are cut into bands. The band
 count is set so that a pair at the threshold is missed with a probability of at
 most ``MISS``.
 
-1. Each class is tested against the first member of the bucket that it shares
-   most bands with. Links are confirmed on the full sets. Components follow.
+1. The centre of a bucket is the member that meets most others over all bands.
+   Each class is tested against the centre that it shares most bands with. Links
+   are confirmed on the full sets. Components follow.
 2. In each bucket that still holds several components, members outside the
-   first one's component are compared by signature with all others of other
-   components, in blocks of bounded size; pairs that could reach the threshold
-   (SIGMAS standard deviations of leeway) are confirmed on the full sets too.
-   Pairs within one component need no test, as no component depends on them.
+   centre's component are compared with all others of other components, in
+   blocks of bounded size: by signature (SIGMAS standard deviations of leeway)
+   and by 16-bit prints of the full sets, which never miss a link. Pairs that
+   are left are confirmed on the full sets too. Pairs within one component need
+   no test, as no component depends on them.
 3. Components again, over all confirmed links.
 
 Components are found by union-find within tasks, then by large-star and
@@ -214,15 +216,6 @@ def components(links: DataFrame, stage: Stage, name: str) -> DataFrame:
 # --------------------------------------------------------------- links
 
 
-def _sets(words: int):
-    def run(batches):
-        for batch in batches:
-            out = [s.tobytes() for _, s in shingle_sets(batch, words)]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(out, pa.binary())], names=["cls", "members"])
-
-    return run
-
-
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
@@ -248,24 +241,50 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def prints(members: np.ndarray) -> bytes:
+    """The distinct 16-bit prints of a set: common members have common prints."""
+    return np.unique((members >> np.uint64(48)).astype(np.uint16)).tobytes()
+
+
 def _cross_pairs(least: int, percent: int):
-    """Pairs of a block's strangers with members of other components, by signature."""
+    """Pairs of a block's strangers with members of other components that can be links.
+
+    Sizes, then signatures, then prints are tested. The last test is sound: no
+    more members are common than prints of one set, counted with their members,
+    are met by the other; its bound is so close that nearly all pairs it leaves
+    are links.
+    """
 
-    def pairs(cls, comp, size, short, stranger):
-        s = np.flatnonzero(stranger)
-        for i in s.tolist():
+    def pairs(cls, comp, size, short, fp, stranger):
+        for i in np.flatnonzero(stranger).tolist():
             other = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
-            if len(other):
-                near = other[(short[other] == short[i]).sum(axis=1) >= least]
-                for j in near.tolist():
+            if not len(other):
+                continue
+            near = other[(short[other] == short[i]).sum(axis=1) >= least]
+            if not len(near):
+                continue
+            mine = np.zeros(1 << 16, bool)
+            mine[fp[i]] = True
+            for j in near.tolist():
+                lost = len(fp[j]) - int(mine[fp[j]].sum())  # at least so many of j's members are not i's
+                common = min(size[j] - lost, size[i])
+                if 100 * common >= percent * (size[i] + size[j] - common):
                     yield (int(cls[i]), int(cls[j])) if cls[i] < cls[j] else (int(cls[j]), int(cls[i]))
 
+    def emit(rows):
+        cls, comp, size, short, fp, stranger = zip(*rows)
+        short = np.frombuffer(b"".join(short), np.uint8).reshape(len(rows), -1)
+        found = sorted(set(pairs(np.array(cls), np.array(comp), np.array(size), short, [np.frombuffer(x, np.uint16) for x in fp], np.array(stranger))))
+        for lo in range(0, len(found), 10_000):
+            part = found[lo : lo + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["a", "b"])
+
     def run(batches):
         held: list = []
         key = None
         for batch in batches:
             table = batch.to_pydict()
-            for row in zip(*(table[c] for c in ("bucket", "block", "cls", "comp", "n_shingles", "short", "stranger"))):
+            for row in zip(*(table[c] for c in ("bucket", "block", "cls", "comp", "n_shingles", "short", "prints", "stranger"))):
                 if row[:2] != key and held:
                     yield from emit(held)
                     held = []
@@ -274,14 +293,6 @@ def _cross_pairs(least: int, percent: int):
         if held:
             yield from emit(held)
 
-    def emit(rows):
-        cls, comp, size, short, stranger = zip(*rows)
-        short = np.frombuffer(b"".join(short), np.uint8).reshape(len(rows), -1)
-        found = sorted(set(pairs(np.array(cls), np.array(comp), np.array(size), short, np.array(stranger))))
-        for lo in range(0, len(found), 10_000):
-            part = found[lo : lo + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["a", "b"])
-
     return run
 
 
@@ -297,10 +308,15 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, carry:
     classes = stage.put(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     buckets = stage.put(classes.select("cls", F.explode("bands").alias("bucket")), "buckets")
-    first = buckets.groupBy("bucket").agg(F.min("cls").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = stage.put(first, "first")
-    members = stage.put(buckets.join(first, "bucket"), "members")
+    # the member that meets most others over all bands is at the centre of its bucket
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowd = stage.put(buckets.join(sizes, "bucket"), "crowd")
     stage.drop("buckets")
+    meets = crowd.groupBy("cls").agg(F.sum("n").alias("meets"))
+    ranked = crowd.join(meets, "cls")
+    first = ranked.groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("cls")).alias("minus"))).alias("best")).select("bucket", (-F.col("best.minus")).alias("first"))
+    members = stage.put(crowd.join(first, "bucket"), "members")
+    stage.drop("crowd")
 
     shared = members.filter("cls <> first").groupBy("cls", "first").agg(F.count(F.lit(1)).alias("n"))
     stars = shared.groupBy("cls").agg(F.max(F.struct("n", (-F.col("first")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), F.col("cls").alias("b"))
@@ -310,11 +326,11 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, carry:
     wanted = members.select("cls").distinct().join(classes.select("cls", "digest", "rep"), "cls")
     own = documents(docs).filter("text is not null")
     texts = own.join(wanted.select(F.col("rep").alias("doc_id"), "cls", "digest").hint("merge"), "doc_id")
-    sets = texts.select("cls", "digest", "text").mapInArrow(_wanted_sets(words), "cls long, members binary")
+    sets = texts.select("cls", "digest", "text").mapInArrow(_wanted_sets(words), "cls long, members binary, prints binary")
     lost = wanted.filter("rep is null")  # only null ids hold these sets: found by the digest itself
     if lost.limit(1).count():
-        bare = own.filter("doc_id is null").select("text").mapInArrow(_digests_of(words), "digest binary, members binary")
-        sets = sets.unionByName(bare.join(lost.select("digest", "cls"), "digest").select("cls", "members"))
+        bare = own.filter("doc_id is null").select("text").mapInArrow(_digests_of(words), "digest binary, members binary, prints binary")
+        sets = sets.unionByName(bare.join(lost.select("digest", "cls"), "digest").select("cls", "members", "prints"))
     sets = stage.put(sets.dropDuplicates(["cls"]), "sets")
 
     links = stage.put(_confirmed(stars, sets, percent), "links-1")
@@ -325,10 +341,10 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, carry:
     labelled = stage.put(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("cls") == F.col("first"), F.col("comp"))).alias("main")).filter("lo <> hi")
     inside = labelled.join(mixed.select("bucket", "main"), "bucket").withColumn("stranger", F.col("comp") != F.col("main"))
-    inside = inside.join(classes.select("cls", "n_shingles", "short"), "cls")
+    inside = inside.join(classes.select("cls", "n_shingles", "short"), "cls").join(sets.select("cls", "prints").hint("merge"), "cls")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.when(F.col("stranger"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), blocks).cast("int")))
-    inside = inside.select("bucket", F.explode(block).alias("block"), "cls", "comp", "n_shingles", "short", "stranger")
+    inside = inside.select("bucket", F.explode(block).alias("block"), "cls", "comp", "n_shingles", "short", "prints", "stranger")
     inside = inside.repartition(shuffle_partitions(spark), "bucket", "block").sortWithinPartitions("bucket", "block")
     crossed = inside.mapInArrow(_cross_pairs(least_matches(threshold), percent), "a long, b long").distinct()
     crossed = stage.put(crossed.join(stars, ["a", "b"], "left_anti"), "crossed")
@@ -348,7 +364,8 @@ def _digests_of(words: int):
     def run(batches):
         for batch in batches:
             sets = [s for _, s in shingle_sets(batch, words)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "members"])
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([prints(s) for s in sets], pa.binary())], names=["digest", "members", "prints"])
 
     return run
 
@@ -358,9 +375,11 @@ def _wanted_sets(words: int):
 
     def run(batches):
         for batch in batches:
-            sets = [s.tobytes() for _, s in shingle_sets(batch, words)]
-            same = [xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], names=["cls", "members"]).filter(pa.array(same, pa.bool_()))
+            sets = [s for _, s in shingle_sets(batch, words)]
+            raw = [s.tobytes() for s in sets]
+            same = [xxhash.xxh3_128_digest(s) == d for s, d in zip(raw, batch.column("digest").to_pylist())]
+            table = [batch.column("cls"), pa.array(raw, pa.binary()), pa.array([prints(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(table, names=["cls", "members", "prints"]).filter(pa.array(same, pa.bool_()))
 
     return run
 
