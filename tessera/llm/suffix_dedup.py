@@ -432,11 +432,12 @@ def _repeat_cuts(length: int):
             for packed in batch.column("packed").to_pylist():
                 raw = zlib.decompress(packed)
                 n = int.from_bytes(raw[:4], "little")
-                heads.append(np.frombuffer(raw, HEAD, n, 4))
+                heads.append(np.frombuffer(raw, HEAD, n, 4).copy())
                 bodies.append(raw[4 + n * HEAD.itemsize :])
         if not heads:
             return
         head, body = np.concatenate(heads), b"".join(bodies)
+        del heads, bodies
         ends = np.cumsum(head["size"].astype(np.int64))
         order = np.lexsort((head["at"], head["twin"], head["rank"], head["key"]))
         head, ends = head[order], ends[order]
@@ -454,12 +455,16 @@ def _repeat_cuts(length: int):
                 continue
             lefts = [body[starts[i] : starts[i] + before[i]][::-1] for i in range(a, b)]
             rights = [body[starts[i] + before[i] : ends[i]] for i in range(a, b)]
+            # longer repeats come first: of a member's repeats only those that reach further left add a cut
+            furthest = [-1] * (b - a)
             for left, right, members in Repeats(lefts, rights, length).groups():
                 for m in members[1:]:
-                    who.append(a + m), lo.append(at[a + m] - left), hi.append(at[a + m] + right)
-            if len(who) > 1 << 18:
-                yield from _by_document(head["rank"][who], head["twin"][who], np.array(lo, np.int64), np.array(hi, np.int64))
-                who, lo, hi = [], [], []
+                    if left > furthest[m]:
+                        furthest[m] = left
+                        who.append(a + m), lo.append(at[a + m] - left), hi.append(at[a + m] + right)
+                if len(who) > 1 << 16:
+                    yield from _by_document(head["rank"][who], head["twin"][who], np.array(lo, np.int64), np.array(hi, np.int64))
+                    who, lo, hi = [], [], []
         if who:
             yield from _by_document(head["rank"][who], head["twin"][who], np.array(lo, np.int64), np.array(hi, np.int64))
 
