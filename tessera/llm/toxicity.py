@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Hasher, chunks, documents, separators, utf8, word_hashes
+from tessera.llm._common import Hasher, chunks, documents, fresh, separators, utf8, word_hashes
 
 MAX_POSITIVE, MAX_UNLABELLED = 5_000, 10_000
 FOLDS = 5
@@ -201,24 +201,23 @@ def _pairs(texts: DataFrame):
     return sorted(zip(table.column("kind").to_pylist(), table.column("words").to_pylist()))
 
 
-def _score(shared, names: list[str]):
+def _score(shared, names: list[str], score: str, predicted: str):
     def run(batches):
         model = shared.value
         for batch in batches:
             scores = model.scores(list(word_ids(batch)))
-            new = {"score": pa.array(scores), "predicted": pa.array((scores >= 0.5).astype(np.int32))}
+            new = {score: pa.array(scores), predicted: pa.array((scores >= 0.5).astype(np.int32))}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with score and predicted; columns of these names are replaced."""
-    spark = docs.sparkSession
-    rows = docs.drop("score", "predicted").withColumn("text", F.col("text").cast("string"))
-    shared = spark.sparkContext.broadcast(fit(docs, labels))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "score double", "predicted int"])
-    return rows.mapInArrow(_score(shared, [*rows.columns, "score", "predicted"]), schema)
+def score_toxicity(docs: DataFrame, labels: DataFrame, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with the two columns; columns of these names are replaced."""
+    rows = docs.drop(score, predicted).withColumn("text", F.col("text").cast("string"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{score} double", f"{predicted} int"])
+    return rows.mapInArrow(_score(shared, [*rows.columns, score, predicted], score, predicted), schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -227,8 +226,6 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic."""
-    if {"score", "predicted"} & set(docs.columns):
-        raise ValueError("columns named score or predicted would be lost")
-    scored = score_toxicity(docs, labels)
-    return scored.filter("predicted = 0").select(*(f"`{c}`" for c in docs.columns))
+    """The rows of docs that are not predicted toxic, with all their columns."""
+    score, predicted = fresh(docs, "score", "predicted")
+    return score_toxicity(docs, labels, score, predicted).filter(F.col(predicted) == 0).select(*(f"`{c}`" for c in docs.columns))

@@ -148,10 +148,9 @@ def test_suffix_edges(frame):
 
 def test_interval_tree_gives_all_maximal_repeats():
     texts = [("ba", "xyz12"), ("ca", "xyz12"), ("ba", "xyz34"), ("q", "none")]
-    found = {(left, right, tuple(m)) for left, right, m in Repeats([a[::-1] for a, _ in texts], [b for _, b in texts], 3).groups()} if False else None
-    padded = [(a.encode(), (b + "!" * 40).encode()) for a, b in texts]
-    rights = [b"R" * 32 + r for _, r in padded]
-    found = {(left, right, tuple(m)) for left, right, m in Repeats([a[::-1] for a, _ in padded], rights, 33).groups()}
+    lefts = [a[::-1].encode() for a, _ in texts]
+    rights = [b"R" * 32 + (b + "!" * 40).encode() for _, b in texts]
+    found = {(left, right, tuple(m)) for left, right, m in Repeats(lefts, rights, 33).groups()}
     assert (1, 32 + 45, (0, 1)) in found  # share "a" before and all after
     assert (2, 32 + 3, (0, 2)) in found  # share "ba" before and "xyz"
     assert (1, 32 + 3, (0, 1, 2)) in found
