@@ -6,7 +6,7 @@ training rows. The two are separate paths.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,11 +33,20 @@ def knot_ranks(n: int, k: int) -> list[int]:
 
 
 def quantile_knots(df: DataFrame, columns: dict[str, Column], k: int) -> dict[str, list[float]]:
-    """Exact order statistics of several columns, with repeats left out.
+    """Knots of several columns: exact order statistics, with repeats left out.
+
+    A column without values gets the knot 0.
+    """
+    found = order_statistics(df, columns, lambda n: knot_ranks(n, k))
+    return {name: xs or [0.0] for name, xs in found.items()}
+
+
+def order_statistics(df: DataFrame, columns: dict[str, Column], ranks_of: Callable[[int], list[int]]) -> dict[str, list[float]]:
+    """The distinct values at the 0-based ranks that ranks_of names for a column's count.
 
     Values are counted, the counts are dealt out by range, and only those that
-    hold a wanted rank come to the driver: k per column. Null, NaN and infinite
-    values are no values; a column without any gets the knot 0.
+    hold a wanted rank come to the driver. Null, NaN and infinite values are no
+    values.
     """
     if not columns:
         return {}
@@ -54,13 +63,13 @@ def quantile_knots(df: DataFrame, columns: dict[str, Column], k: int) -> dict[st
     placed = parts.join(F.broadcast(sizes), ["feature", "part"]).withColumn("hi", F.col("before") + running).withColumn("lo", F.col("hi") - F.col("n"))
     wanted = F.lit(False)
     for name, n in totals.items():
-        ranks = sorted(set(knot_ranks(n, k)))
+        ranks = sorted(set(ranks_of(n)))
         hit = F.exists(F.array(*(F.lit(r).cast("long") for r in ranks)), lambda r: (r >= F.col("lo")) & (r < F.col("hi")))
         wanted = wanted | ((F.col("feature") == name) & hit)
     found: dict[str, list[float]] = {name: [] for name in columns}
     for r in placed.filter(wanted).select("feature", "x").collect():
         found[r.feature].append(r.x)
-    return {name: sorted(xs) or [0.0] for name, xs in found.items()}
+    return {name: sorted(xs) for name, xs in found.items()}
 
 
 # --------------------------------------------------------------- rates and target encodings
