@@ -1,4 +1,4 @@
-"""Shared helpers: staging tables, Arrow text access and vectorised hashing.
+"""Shared helpers: Arrow text access and vectorised hashing.
 
 Text is handled as UTF-8 bytes in numpy. Every byte of a non-ASCII character is
 0x80 or more, so classes of ASCII characters can be tested bytewise.
@@ -6,67 +6,24 @@ Text is handled as UTF-8 bytes in numpy. Every byte of a non-ASCII character is
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import Stage, shuffle_partitions
+
+__all__ = ["CHUNK", "SPACES", "Hasher", "Stage", "chunks", "documents", "fresh", "grams", "mix", "separators", "shuffle_partitions", "sliding", "utf8", "winnow", "word_hashes"]
+
 #: Bytes of text that numpy works on at a time.
 CHUNK = 1 << 20
 #: ASCII white space of the word and line rules: space and 0x09 to 0x0D.
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-# --------------------------------------------------------------- staging
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir.
-
-    Unset, a local session gets a temporary folder; on a cluster that would be
-    local to one machine, so it is an error there.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="tessera-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-class Stage:
-    """Intermediate tables of one run, as Parquet in the shared folder.
-
-    A written table cuts the lineage: a lost executor costs a reread, not a
-    rerun. ``drop`` removes a table once all that reads it has been written.
-    """
-
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark = spark
-        self.path = f"{checkpoint_root(spark)}/tessera-{what}-{uuid.uuid4().hex[:12]}"
-
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.get(name, df)
-
-    def get(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(conf).delete(path, True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+# --------------------------------------------------------------- tables
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -16,7 +16,7 @@ prior counts all training labels, and every text is scored as a whole.
 
 Defined cases: null text is empty and gets the score of no words. Null doc_ids
 are scored, held_out is false for them, and nothing is learned from them. Rows
-that share a doc_id share its label. A doc_id that is labelled both ways counts
+that share a doc_id share its label; the least of their texts is learned from. A doc_id that is labelled both ways counts
 as toxic; null labels don't count. Without labels of both kinds there is nothing
 to learn: all scores are the prior (0 if there is none). An empty table stays
 empty. Other columns are not read.
@@ -185,8 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
         .unionByName(_sample(known.filter("toxic is null"), MAX_UNLABELLED).withColumn("kind", F.lit(2)))
         .select("doc_id", "kind")
     )
-    # the bound on the picked rows bounds what is broadcast and what comes to the driver
-    texts = documents(docs).join(F.broadcast(picked), "doc_id").select("kind", "text")
+    # the bound on the picked rows bounds what is broadcast and, with a text per id, what comes to the driver
+    texts = documents(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text")).select("kind", "text")
     found: dict[int, list] = {0: [], 1: [], 2: []}
     for kind, words in _pairs(texts):
         found[kind].append(np.frombuffer(words, np.int32))
