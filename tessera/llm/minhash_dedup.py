@@ -389,4 +389,5 @@ def near_dedup(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataF
     (keep,) = fresh(docs, "keep_id")
     kept = near_groups(docs, words, threshold).filter("kept").select(F.col("doc_id").alias(keep)).distinct()
     kept = Stage(docs.sparkSession, "near-kept").put(kept, "ids")
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(keep)), "left_semi")
+    # ids grow with the corpus, so none are broadcast; hashing a part's ids spares the texts a sort
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(keep)), "left_semi")
