@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,10 @@ from tessera.operators import leaves as L
 from tessera.operators import metrics as M
 from tessera.operators import splits as T
 from tessera.operators.config import Config
-from tessera.operators.model import Model, train
+from tessera.operators.model import LocalScorer, Model, train
 from tessera.plans import experiments, oracle
 from tessera.sources import synthetic
-from tessera.sources.frame import LABEL, RID, WEIGHT, Kind, Schema, class_weights, ingest, raw_row, row_slice, temporal_split, with_row_numbers
+from tessera.sources.frame import LABEL, RID, WEIGHT, Kind, Schema, class_weights, ingest, row_slice, temporal_split, with_row_numbers
 from tessera.sources.staging import Stage
 
 SCHEMA = Schema(["qty", "price", "disc", "tax", "flagstat", "ok3", "part", "supp"], [Kind.NUMERIC] * 4 + [Kind.BOUNDED] * 2 + [Kind.HIGH_CARD] * 2)
@@ -168,6 +169,12 @@ def basis_expand_row(spark, sf_dir):
     return found.transform(row_slice(rows, first, first + 300)).select(RID, F.inline(found.expand())).withColumn("val", F.round("val", 8))
 
 
+def basis_expand_rows(spark, sf_dir):
+    """The basis of all validation rows over all features; basis_expand_row is the part that its SQL has."""
+    found = _encoders(spark, sf_dir)
+    return found.transform(_valid(spark, sf_dir)).select(RID, F.inline(found.expand())).withColumn("val", F.round("val", 8))
+
+
 # --------------------------------------------------------------- gradients and splits
 
 
@@ -289,15 +296,23 @@ def unseen_row_predict(spark, sf_dir):
     return _model(spark, sf_dir).transform(odd).select(RID, "leaf_id", F.round("score", 6).alias("score"))
 
 
+def _predict(shared):
+    def run(batches):
+        local = shared.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([local.predict(r) for r in batch.to_pylist()], pa.float64()), batch.column("score")], names=["local", "score"])
+
+    return run
+
+
 def scorer_paths_agree(spark, sf_dir):
-    """The greatest difference of the local scorer and transform over 500 rows; a test of agreement."""
+    """Whether the local scorer and transform agree on all validation rows; tasks run the local scorer."""
     model, rows = _model(spark, sf_dir), _valid(spark, sf_dir)
-    first = rows.agg(F.min(RID)).first()[0] or 0
-    some = row_slice(rows, first, first + 500)
-    local = model.local()
-    gaps = [abs(local.predict(r.asDict()) - r.score) for r in model.transform(some).collect()]
-    one = raw_row(rows, SCHEMA, first)
-    return spark.createDataFrame([(len(gaps), max(gaps, default=0.0) < 1e-5, 0 < local.predict(one) < 1)], "n int, agree boolean, in_range boolean")
+    slim = Model(E.Encoders(model.schema, list(model.encoders), {}), model.tree, model.leaves, model.s0)
+    shared = spark.sparkContext.broadcast(LocalScorer(slim, model.local_codes()))
+    both = model.transform(rows).select(*SCHEMA.names, "score").mapInArrow(_predict(shared), "local double, score double")
+    gap, inside = F.max(F.abs(F.col("local") - F.col("score"))), F.bool_and((F.col("local") > 0) & (F.col("local") < 1))
+    return both.agg(F.count(F.lit(1)).cast("int").alias("n"), (F.coalesce(gap, F.lit(0.0)) < 1e-5).alias("agree"), F.coalesce(inside, F.lit(True)).alias("in_range"))
 
 
 # --------------------------------------------------------------- metrics
@@ -363,7 +378,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     temporal_split_counts, class_weights_, row_slice_, quantile_knots_numeric, quantile_knots_highcard, weighted_rate, base_score, grad_hess, target_encoding, target_encoding_oof,
-    target_encoding_unique_ids, target_encode_unseen, vocab_first_seen, bounded_codes_valid, numeric_basis, onehot_basis, basis_layout, basis_expand_row, hist_numeric, split_numeric_const,
+    target_encoding_unique_ids, target_encode_unseen, vocab_first_seen, bounded_codes_valid, numeric_basis, onehot_basis, basis_layout, basis_expand_row, basis_expand_rows, hist_numeric, split_numeric_const,
     split_numeric_leafaware, split_categorical, parent_scores, best_split_root, stump_partition, stump_predict_constant_leaf, tree_leaf_counts, tree_nodes, irls_one_feature, linear_leaf_predict,
     unseen_row_predict, scorer_paths_agree, log_loss, roc_auc, pr_auc, lift_at_1pct, lift_at_10pct, reliability_bins, metrics_bundle, synthetic_profile, ablation_leaf_kind, sweep_k_gain,
 )
