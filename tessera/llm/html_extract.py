@@ -2,12 +2,13 @@
 
 The standard library's parser streams a page's events into lines, one per block
 element. A line's ratio is its characters over its tags. The ratios are smoothed
-with a Gaussian and lines at or above one standard deviation are content; a
-container (article, main, or else the nearest div, section, cell or body) that
-holds such a line is a content region and is taken as a whole, so that short
-lines of an article are not lost. Lines in menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts and hidden parts are no content,
-whatever their ratio.
+with a Gaussian. Lines at or above one standard deviation are content, and the
+containers that hold such a line are taken as a whole, so that short lines are not
+lost. Where articles
+(article, main) hold half of the text or of the content, all else is none. Lines
+in menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
+and hidden parts are no content, whatever their ratio, nor are articles in them,
+see ``_able``.
 
 Character references are decoded, white space inside a block becomes one space,
 lines are trimmed, empty ones left out, and joined in page order by a newline.
@@ -20,6 +21,7 @@ empty. Other columns are not read.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -44,26 +46,73 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 SIGMA = 1.0
 
 
+SOFT, HARD, UNSEEN = 1, 2, 3  # boilerplate by name or a form, by its element or role, or not shown at all
+
+
+@dataclass(slots=True)
+class Line:
+    text: str
+    tags: int
+    links: int  # characters in links
+    box: int  # the container
+    strong: bool  # an article or main is around it
+    top: int  # the outermost article or main, or that inside ``held``
+    skipped: bool
+    held: int  # boilerplate with an article in it that this line is in
+
+
+@dataclass(slots=True)
+class Held:
+    """Boilerplate with an article in it; only its end tag tells if the article is part of it."""
+
+    tag: str
+    depth: int
+    number: int
+    containers: int
+
+
 class Lines(HTMLParser):
-    """The lines of a page: text, tags, container, strong container, boilerplate."""
+    """The lines of a page, its containers and the boilerplate around articles."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        self.lines: list[Line] = []
         self.words: list[str] = []
-        self.tags = 0
-        self.open: list[tuple[str, int, bool]] = []  # containers: tag, number, strong
-        self.count = 0
-        self.skip = ""  # the element of boilerplate that is open, and how deep
-        self.depth = 0
+        self.tags = self.links = self.anchors = 0
+        self.open: list[tuple[str, int, int, int]] = []  # containers: tag, number, nearest strong one, top
+        self.parent, self.last = [0], [0]  # of containers, by number: the one around it, the last one in it
+        self.skip = ""  # the element of boilerplate that is open, how deep and of what level
+        self.depth = self.level = 0
+        self.held: list[Held] = []
+        self.levels = [0]  # by number of held boilerplate
+        self.closed: set[int] = set()
+
+    def close(self) -> None:
+        super().close()
+        self.flush()
+        self._leave(0)
+        self.last[0] = len(self.last) - 1
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
         if text or self.tags:
-            strong = next((c for c in reversed(self.open) if c[2]), None)
-            box = strong or (self.open[-1] if self.open else ("", 0, False))
-            self.lines.append((text, self.tags, box[1], bool(strong), bool(self.skip)))
-        self.words, self.tags = [], 0
+            _, box, strong, top = self.open[-1] if self.open else ("", 0, 0, 0)
+            self.lines.append(Line(text, self.tags, self.links, strong or box, bool(strong), top, bool(self.skip), self.held[-1].number if self.held else 0))
+        self.words, self.tags, self.links = [], 0, 0
+
+    def _enter(self, tag: str) -> None:
+        number = len(self.last)
+        around = self.open[-1] if self.open else ("", 0, 0, 0)
+        inner = len(self.open) > (self.held[-1].containers if self.held else 0)
+        strong = number if tag in CONTAINERS else around[2]
+        self.parent.append(around[1])
+        self.last.append(number)
+        self.open.append((tag, number, strong, inner and around[3] or (number if tag in CONTAINERS else 0)))
+
+    def _leave(self, kept: int) -> None:
+        for _, number, *_ in self.open[kept:]:
+            self.last[number] = len(self.last) - 1
+        del self.open[kept:]
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -73,32 +122,38 @@ class Lines(HTMLParser):
             self.words.append(" ")
         if tag in VOID:
             return
+        self.anchors += tag == "a"
+        for h in self.held:
+            h.depth += tag == h.tag
         if self.skip and tag in CONTAINERS and self.skip not in ("template", "noscript", "svg"):
-            self.skip = ""  # boilerplate that was never closed
+            if self.skip != "p":  # an article ends a paragraph
+                self.levels.append(max(self.level, self.levels[self.held[-1].number] if self.held else 0))
+                self.held.append(Held(self.skip, self.depth, len(self.levels) - 1, len(self.open)))
+            self.skip = ""
         if self.skip:
             self.depth += tag == self.skip
-        elif self._boilerplate(tag, attrs):
+        elif level := self._boilerplate(tag, attrs):
             self.flush()
-            self.skip, self.depth = tag, 1
+            self.skip, self.depth, self.level = tag, 1, level
         elif tag in CONTAINERS or tag in WEAK_CONTAINERS:
-            self.count += 1
-            self.open.append((tag, self.count, tag in CONTAINERS))
+            self._enter(tag)
 
-    def _boilerplate(self, tag, attrs) -> bool:
-        inside = any(c[2] for c in self.open)
+    def _boilerplate(self, tag, attrs) -> int:
+        inside = bool(self.open and self.open[-1][2])
+        level = 0
         if tag in BOILERPLATE and not (tag == "header" and inside):
-            return True
+            level = SOFT if tag == "form" else HARD
         if tag in ("html", "body", "article", "main"):
-            return False
+            return 0
         for name, value in attrs:
             value = value or ""
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
-                return True
+                return UNSEEN
             if name == "role" and value.lower() in ROLES:
-                return True
+                level = max(level, SOFT if tag == "form" else HARD)
             if name in ("class", "id") and NAMES.search(value) and not (tag[0] == "h" and tag[1:].isdigit()):
-                return True
-        return False
+                level = max(level, SOFT)
+        return level
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
@@ -111,6 +166,16 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
+        self.anchors -= tag == "a" and self.anchors > 0
+        for k, h in enumerate(self.held):
+            h.depth -= tag == h.tag
+            if not h.depth:
+                self.flush()
+                self.closed.update(x.number for x in self.held[k:])
+                self._leave(h.containers)
+                del self.held[k:]
+                self.skip = ""
+                return
         if self.skip:
             if tag == self.skip:
                 self.depth -= 1
@@ -122,11 +187,13 @@ class Lines(HTMLParser):
             return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                del self.open[i:]
+                self._leave(i)
                 break
 
     def handle_data(self, data):
         self.words.append(data)
+        if self.anchors:
+            self.links += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -135,30 +202,59 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
+def _able(parser: Lines) -> np.ndarray:
+    """The lines that are no boilerplate.
+
+    An article in boilerplate that was never closed is content, in closed one it
+    isn't, unless it alone has most of the page's text and the boilerplate was
+    told by a name (a wrapper called "no-sidebar"), or the page has no other text.
+    """
+    lines = parser.lines
+    shown = np.array([bool(x.text) and not x.skipped for x in lines])
+    inner = np.array([x.held in parser.closed for x in lines])
+    able = shown & ~inner
+    level = [parser.levels[x.held] for x in lines]
+    sizes: dict[tuple[int, int], int] = {}
+    for x, l, ok in zip(lines, level, (shown & inner).tolist()):
+        if ok and x.top and l < UNSEEN:
+            sizes[x.top, l] = sizes.get((x.top, l), 0) + len(x.text)
+    if sizes:
+        best = max(sizes, key=sizes.get)
+        outside = sum(len(x.text) for x, ok in zip(lines, able.tolist()) if ok)
+        if not outside or best[1] == SOFT and 2 * sizes[best] > outside + sum(sizes.values()):
+            able |= shown & inner & np.array([(x.top, l) == best for x, l in zip(lines, level)])
+    return able
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = Lines()
     parser.feed(html)
     parser.close()
-    parser.flush()
     lines = parser.lines
     if not lines:
         return ""
-    ratio = np.array([len(text) / max(tags, 1) for text, tags, *_ in lines])
-    height = smoothed(ratio)
-    able = np.array([bool(text) and not skipped for text, _, _, _, skipped in lines])
-    strong = np.array([s for *_, s, _ in lines])
-    if (able & strong).any():  # what lies outside an article is none
-        able &= strong
+    able = _able(parser)
     if not able.any():
         return ""
-    box = np.array([b for _, _, b, _, _ in lines])
+    size = np.array([len(x.text) for x in lines])
+    tags = np.array([max(x.tags, 1) for x in lines])
+    strong = np.array([x.strong for x in lines])
+    box = np.array([x.box for x in lines])
+    ratio = size / tags
+    height = smoothed(ratio)
     content = able & (height >= height.std())
     if not content.any():
         content = able & (height >= height[able].max())
+    if any(2 * size[of & strong].sum() >= size[of].sum() for of in (able, content)):  # what lies outside an article is none
+        able &= strong
+        if not (content & able).any():
+            content = able & (height >= height[able].max()) if able.any() else content
+        content &= able
     chosen = set(box[content].tolist())
-    return "\n".join(text for (text, *_), ok, b in zip(lines, able.tolist(), box.tolist()) if ok and b in chosen)
+    kept = able & np.array([b in chosen for b in box.tolist()])
+    return "\n".join(x.text for x, ok in zip(lines, kept.tolist()) if ok)
 
 
 def _extract(batches):

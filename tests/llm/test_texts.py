@@ -48,6 +48,22 @@ def test_html_edges(page, text):
     assert main_text(page) == text
 
 
+LONG = "A long sentence of plain words that goes on for quite a while. " * 8
+
+
+@pytest.mark.parametrize("card", ["<aside><article>Teaser</article></aside>", "<div class=comments><article>One</article><article>Two</article></div>", "<article>Teaser</article>"])
+def test_a_card_does_not_stand_for_the_main_text(card):
+    for page in (f"<div id=content><p>{LONG}</p></div>{card}", f"{card}<div id=content><p>{LONG}</p></div>"):
+        assert LONG.strip() in main_text(f"<body>{page}</body>").split("\n")
+        if card[1:8] != "article":
+            assert main_text(f"<body>{page}</body>") == LONG.strip()
+
+
+def test_an_article_in_a_wrapper_with_a_name_of_boilerplate_stays():
+    assert main_text(f"<body><div class='page no-sidebar'><article><p>{LONG}</p></article></div><div>Short</div></body>") == LONG.strip()
+    assert main_text(f"<form id=all><main><p>{LONG}</p><aside><article>Teaser</article></aside></main></form>") == LONG.strip()
+
+
 def test_extract_returns_every_row(spark):
     rows = [(1, "u", "<article><p>a b</p></article>"), (1, None, None), (None, "u", ""), (1, "u", "<article><p>a b</p></article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
