@@ -2,9 +2,10 @@
 
 The standard library's parser streams a page's events into lines, one per block
 element. A line's ratio is its characters over its tags. The ratios are smoothed
-with a Gaussian. Lines at or above one standard deviation are content, and the
-containers that hold such a line are taken as a whole, so that short lines are not
-lost. Where articles
+with a Gaussian. Lines at or above one standard deviation are content, where a
+ratio counts for at most twice the median, so that a long line doesn't hide the
+others. The container around all content is taken as a whole, so that short lines
+are not lost; outside articles its lists of links are left out. Where articles
 (article, main) hold half of the text or of the content, all else is none. Lines
 in menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
 and hidden parts are no content, whatever their ratio, nor are articles in them,
@@ -240,11 +241,15 @@ def main_text(html: str | None) -> str:
         return ""
     size = np.array([len(x.text) for x in lines])
     tags = np.array([max(x.tags, 1) for x in lines])
+    listed = 2 * np.array([x.links for x in lines]) > size
     strong = np.array([x.strong for x in lines])
     box = np.array([x.box for x in lines])
     ratio = size / tags
     height = smoothed(ratio)
-    content = able & (height >= height.std())
+    # a few long lines shall not lift the bar over all others
+    plain = able & ~listed
+    bar = smoothed(np.minimum(ratio, 2 * np.median(ratio[plain]))).std() if plain.any() else height.std()
+    content = able & (height >= min(bar, height.std()))
     if not content.any():
         content = able & (height >= height[able].max())
     if any(2 * size[of & strong].sum() >= size[of].sum() for of in (able, content)):  # what lies outside an article is none
@@ -252,8 +257,15 @@ def main_text(html: str | None) -> str:
         if not (content & able).any():
             content = able & (height >= height[able].max()) if able.any() else content
         content &= able
-    chosen = set(box[content].tolist())
-    kept = able & np.array([b in chosen for b in box.tolist()])
+    # the container around all content, whole but for lists of links outside articles
+    low, high = int(box[content].min()), int(box[content].max())
+    around = low
+    while parser.last[around] < high:
+        around = parser.parent[around]
+    text, links = np.bincount(box[able], size[able]), np.bincount(box[able], size[able] * listed[able])
+    lists = np.flatnonzero(2 * links > text)
+    kept = able & (box >= around) & (box <= parser.last[around])
+    kept &= strong | ~np.isin(box, lists) | np.isin(box, box[content])
     return "\n".join(x.text for x, ok in zip(lines, kept.tolist()) if ok)
 
 

@@ -64,6 +64,14 @@ def test_an_article_in_a_wrapper_with_a_name_of_boilerplate_stays():
     assert main_text(f"<form id=all><main><p>{LONG}</p><aside><article>Teaser</article></aside></main></form>") == LONG.strip()
 
 
+@pytest.mark.parametrize("sizes", [[100] * 8 + [600], [200] * 8 + [1500], [120] * 5 + [800] * 3, [120] * 3 + [800] * 5])
+def test_long_paragraphs_do_not_hide_short_ones(sizes):
+    links = "<ul>" + "<li><a href=x>Some link</a></li>" * 9 + "</ul>"
+    texts = [f"{i} " + "x" * n for i, n in enumerate(sizes)]
+    page = f"<body><div>{links}</div>" + "".join(f"<section><p>{t}</p></section>" for t in texts) + f"<div>{links}</div></body>"
+    assert main_text(page).split("\n") == texts
+
+
 def test_extract_returns_every_row(spark):
     rows = [(1, "u", "<article><p>a b</p></article>"), (1, None, None), (None, "u", ""), (1, "u", "<article><p>a b</p></article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
