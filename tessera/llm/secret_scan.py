@@ -7,9 +7,10 @@ Base kinds, leftmost and without overlap within a kind:
 The added kind:
 - random: a string of at least MIN_CHARS letters, digits and + / _ = - that has
   fewer than MAX_RATIO characters per token of a public vocabulary. Texts people
-  write have longer tokens. Known digests (hexadecimal strings of the usual
-  lengths), UUIDs, numbers, and strings without both letters and digits are no
-  candidates.
+  write have longer tokens. Of a string that has more, the parts between / and =
+  are tried, then those between + _ and -, so that words joined to a secret don't
+  hide it. Known digests (hexadecimal strings of the usual lengths), UUIDs, the
+  alphabet and strings without a letter are no candidates.
 
 Spans are code points, the end exclusive. Whole texts are read.
 
@@ -40,7 +41,9 @@ MIN_CHARS, MAX_RATIO = 20, 2.2
 STRING = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{48}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
-MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9])", re.DOTALL)
+ALPHABET = "abcdefghijklmnopqrstuvwxyz" * 2
+LETTER = re.compile(r"[A-Za-z]")
+PARTS = tuple(re.compile(rf"[{chars}]{{{MIN_CHARS},}}") for chars in ("A-Za-z0-9+_-", "A-Za-z0-9"))
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -64,11 +67,22 @@ def base_spans(text: str) -> Iterator[Span]:
 
 def random_spans(text: str, encode) -> Iterator[Span]:
     for m in STRING.finditer(text):
-        found = m[0]
-        if not MIXED.match(found) or DIGEST.fullmatch(found) or UUID.fullmatch(found):
-            continue
-        if len(found) < MAX_RATIO * len(encode(found)):
-            yield m.start(), 3, m.end()
+        yield from _random_parts(m[0], m.start(), encode, PARTS)
+
+
+def _random_parts(found: str, at: int, encode, parts: tuple[re.Pattern, ...]) -> Iterator[Span]:
+    """The string, or else those of its parts that are random."""
+    if not LETTER.search(found) or DIGEST.fullmatch(found) or UUID.fullmatch(found) or found.lower() in ALPHABET:
+        return
+    if len(found) < MAX_RATIO * len(encode(found)):
+        yield at, 3, at + len(found)
+    elif parts:
+        for m in parts[0].finditer(found):
+            # a string without the separators is the whole again, which the next ones may cut
+            if len(m[0]) < len(found):
+                yield from _random_parts(m[0], at + m.start(), encode, parts)
+            else:
+                yield from _random_parts(m[0], at, encode, parts[1:])
 
 
 def encoder(path: str):

@@ -126,6 +126,21 @@ def test_random_strings_and_what_is_not_one():
     assert found("12345678901234567890123") == [] and found("Donaudampfschifffahrtsgesellschaft") == []
 
 
+def test_random_letters_and_secrets_joined_to_words():
+    encode = encoder(scan_vocabulary())
+
+    def found(text):
+        return [text[a:b] for a, _, b in random_spans(text, encode)]
+
+    letters, key = "qZkXvLmWpRtBgHnYdJcFsQxKvTzMwPbG", "q7Zk2LxPv9RwTb4NcYh8Jm3D"
+    path, name = "international/documentation/customer/" * 3, "international_customer_documentation_" * 3
+    assert found(letters) == [letters] and found(letters.lower()) == [letters.lower()]
+    assert found(f"https://example.org/{path}{key}") == [key] and found(f"{path}{letters}/index") == [letters]
+    assert found(f"{name}{key}") == [key] and found(f"{path}customer={key}") == [key]
+    assert found(f"{path}24be64439e3e49cf46b2d7c90f3602a3d0b907ff") == [] and found(f"{path}123e4567-e89b-12d3-a456-426614174000") == []
+    assert found("AbstractSingletonProxyFactoryBean abcdefghijklmnopqrstuvwxyz Kraftfahrzeughaftpflichtversicherung") == []
+
+
 def test_scan_rows(frame):
     rows = [(i, t) for i, t in enumerate(SECRETS)] + [(None, None), (7, "x" * 200_000 + " token=abcdefghijklmnop")]
     got = {r.doc_id: r for r in scan_secrets(frame(rows, clash=True)).collect()}
