@@ -174,15 +174,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = documents(docs).select("doc_id").filter("doc_id is not null").filter(~held_out(F.col("doc_id"))).distinct()
     known = ids.join(marked, "doc_id", "left")
-    n, toxic = known.agg(F.count("toxic"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    rows, n, toxic = known.agg(F.count(F.lit(1)), F.count("toxic"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     model = Classifier(toxic / n if n else 0.0)
     if not 0 < toxic < n:
         return model
+    # where all rows are labelled, any of them stand in for unlabelled ones, labels unread
+    unlabelled = known if n == rows else known.filter("toxic is null")
     picked = (
         _sample(known.filter("toxic = 1"), MAX_POSITIVE)
         .withColumn("kind", F.lit(1))
         .unionByName(_sample(known.filter("toxic = 0"), MAX_POSITIVE).withColumn("kind", F.lit(0)))
-        .unionByName(_sample(known.filter("toxic is null"), MAX_UNLABELLED).withColumn("kind", F.lit(2)))
+        .unionByName(_sample(unlabelled, MAX_UNLABELLED).withColumn("kind", F.lit(2)))
         .select("doc_id", "kind")
     )
     # the bound on the picked rows bounds what is broadcast and, with a text per id, what comes to the driver
@@ -190,8 +192,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     found: dict[int, list] = {0: [], 1: [], 2: []}
     for kind, words in _pairs(texts):
         found[kind].append(np.frombuffer(words, np.int32))
-    if not found[2]:  # all rows are labelled: those without a confirmed label stand in, labels unread
-        found[2] = [*found[0], *found[1][: int(len(found[0]) * model.prior / (1 - model.prior))]]
     return train(found[1], found[2], found[0], model.prior)
 
 

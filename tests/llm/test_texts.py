@@ -289,6 +289,24 @@ def test_held_out_accuracy_and_no_leak(spark, frame):
     assert again == {d: r.score for d, r in got.items()}
 
 
+def test_where_all_rows_are_labelled_any_stand_in_for_unlabelled(spark, frame, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import toxicity
+
+    rows = [(i, f"only{i} " + ("vile" if i % 4 == 0 else "mild")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 20)
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 100)
+    monkeypatch.setattr(toxicity, "train", lambda *found: seen.append(found))
+    toxicity.fit(frame(rows), labels)
+    ids = frame(rows).filter(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(100)
+    expected = Counter(w for _, w in toxicity._pairs(ids.select(F.lit(2).alias("kind"), "text")))
+    positive, mixed, clean, _ = seen[0]
+    assert (len(positive), len(clean)) == (20, 20) and Counter(w.tobytes() for w in mixed) == expected
+
+
 def test_toxicity_edges(spark, frame):
     schema = "doc_id long, quality int, toxic int"
     none = spark.createDataFrame([], schema)
