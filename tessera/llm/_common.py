@@ -10,17 +10,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.staging import Stage, shuffle_partitions
 
-__all__ = ["CHUNK", "SPACES", "Hasher", "Stage", "chunks", "documents", "fresh", "grams", "mix", "separators", "shuffle_partitions", "sliding", "utf8", "winnow", "word_hashes"]
+__all__ = ["CHUNK", "SPACES", "Rolling", "Stage", "chunks", "documents", "fresh", "grams", "mix", "separators", "shuffle_partitions", "sliding", "span_hashes", "utf8", "winnow", "word_hashes"]
 
 #: Bytes of text that numpy works on at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Spans of more bytes are hashed one at a time.
+LONG = 64
 #: ASCII white space of the word and line rules: space and 0x09 to 0x0D.
 SPACES = b" \t\n\x0b\x0c\r"
+#: A-Z to a-z, other bytes as they are.
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 # --------------------------------------------------------------- tables
@@ -97,37 +104,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Hasher:
-    """Polynomial 64-bit hashes of byte spans by prefix sums.
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of buf[starts:ends], eight bytes at a time through ``mix``.
 
-    Bytes go through a table of random numbers first; ``fold`` gives A-Z the
-    numbers of a-z.
+    A span of eight bytes or less can't collide with one of its length. Spans
+    longer than LONG bytes go to XXH3.
     """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(_mix_int(seed)))
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left, h = starts[live], size[live], out[live]
+    while len(live):
+        h = mix(h ^ (eights[at] & FIRST_BYTES[np.minimum(left, 8)]))
+        more = left > 8
+        out[live[~more]] = h[~more]
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    raw = memoryview(buf)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[int(starts[i]) : int(ends[i])], seed)
+    return out
+
+
+class Rolling:
+    """Polynomial hashes of all windows of a width, modulo 2 ** 64.
 
-    def __init__(self, seed: int = 1, fold: bool = True):
-        table = np.array([_mix_int(seed * 1000 + b) for b in range(256)], dtype=np.uint64)
-        if fold:
-            table[ord("A") : ord("Z") + 1] = table[ord("a") : ord("z") + 1]
-        self.table = table
+    They choose places and deal them out. Strings can be built that collide, so
+    nobody may take equal hashes for equal bytes.
+    """
+
+    def __init__(self, seed: int, width: int):
+        self.table = np.array([_mix_int(seed * 1000 + b) for b in range(256)], dtype=np.uint64)
         self.base = _mix_int(seed * 1000 + 777) | 1
         self.inverse = pow(self.base, -1, 2**64)
+        self.width = width
         self._grow(1 << 12)
 
     def _grow(self, n: int) -> None:
         self.up = _powers(self.base, n)
         self.down = _powers(self.inverse, n)
 
-    def prefix(self, buf: np.ndarray) -> np.ndarray:
+    def windows(self, buf: np.ndarray) -> np.ndarray:
         if len(buf) + 1 > len(self.up):
             self._grow(max(len(buf) + 1, 2 * len(self.up)))
         sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(self.table[buf] * self.up[: len(buf)], out=sums[1:])
-        return sums
-
-    def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of buf[starts:ends], from prefix(buf)."""
-        h = (sums[ends] - sums[starts]) * self.down[starts]
-        return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(1)))
+        return mix((sums[self.width :] - sums[: -self.width]) * self.down[: len(buf) - self.width + 1])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -158,14 +181,14 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np.n
     return at[:-1][word], at[1:][word]
 
 
-def word_hashes(buf: np.ndarray, offs: np.ndarray, sep: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the first word of each row (one entry more).
+def word_hashes(buf: np.ndarray, offs: np.ndarray, sep: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z as a-z, and the first word of each row (one entry more).
 
     A row longer than CHUNK is worked on in parts that end at a separator.
     """
     if len(buf) <= 2 * CHUNK or len(offs) > 2:
         starts, ends = word_spans(buf, offs, sep)
-        return hasher.spans(hasher.prefix(buf), starts, ends), np.searchsorted(starts, offs)
+        return span_hashes(LOWER[buf], starts, ends, seed), np.searchsorted(starts, offs)
     out, lo = [], 0
     while lo < len(buf):
         hi = min(lo + CHUNK, len(buf))
@@ -177,7 +200,7 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray, sep: np.ndarray, hasher: Hash
             hi = min(hi + CHUNK, len(buf))
         part = buf[lo:hi]
         starts, ends = word_spans(part, np.array([0, len(part)]), sep)
-        out.append(hasher.spans(hasher.prefix(part), starts, ends))
+        out.append(span_hashes(LOWER[part], starts, ends, seed))
         lo = hi
     words = np.concatenate(out)
     return words, np.array([0, len(words)])
@@ -188,12 +211,10 @@ def grams(words: np.ndarray, k: int, seed: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    base = np.uint64(_mix_int(seed) | 1)
-    out = words[:n].copy()
+    out = words[:n] ^ np.uint64(_mix_int(seed * 100 + k))
     for j in range(1, k):
-        out *= base
-        out += words[j : j + n]
-    return mix(out ^ np.uint64(_mix_int(seed + k)))
+        out = mix(out) ^ words[j : j + n]
+    return mix(out)
 
 
 def sliding(values: np.ndarray, width: int, best) -> np.ndarray:

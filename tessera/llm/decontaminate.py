@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Hasher, Stage, chunks, fresh, grams, mix, separators, utf8, winnow, word_hashes
+from tessera.llm._common import Stage, chunks, fresh, grams, mix, separators, utf8, winnow, word_hashes
 
 WINDOW, GRAM = 13, 5
 MAP_BITS = 23  # of the bitmap of the items' fingerprints: 1 MB
@@ -62,10 +62,10 @@ def _around(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    sep, hasher = separators(SEPARATORS), Hasher(HASHER)
+    sep = separators(SEPARATORS)
     buf, offs = utf8(batch.column("text"))
     for lo, hi in chunks(offs):
-        words, first = word_hashes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], sep, hasher)
+        words, first = word_hashes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], sep, HASHER)
         words = words | np.uint64(1)  # 0 marks a place outside
         for i in range(hi - lo):
             yield lo + i, words[first[i] : first[i + 1]]

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import SPACES, Hasher, Stage, chunks, documents, fresh, grams, mix, separators, shuffle_partitions, utf8, word_hashes
+from tessera.llm._common import SPACES, Stage, chunks, documents, fresh, grams, mix, separators, shuffle_partitions, utf8, word_hashes
 
 SLOTS = 128
 MISS = 1e-7
@@ -66,10 +66,10 @@ def least_matches(threshold: float) -> int:
 
 def shingle_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each row's distinct shingles as sorted hashes."""
-    sep, hasher = separators(SPACES), Hasher(HASHER)
+    sep = separators(SPACES)
     buf, offs = utf8(batch.column("text"))
     for lo, hi in chunks(offs):
-        h, first = word_hashes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], sep, hasher)
+        h, first = word_hashes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], sep, HASHER)
         for i in range(hi - lo):
             own = h[first[i] : first[i + 1]]
             yield lo + i, np.unique(grams(own, min(words, max(len(own), 1)), SHINGLE))

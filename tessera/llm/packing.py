@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._common import SPACES, Hasher, Stage, chunks, documents, separators, utf8
+from tessera.llm._common import SPACES, Stage, chunks, documents, separators, span_hashes, utf8
 
 CAPACITY, END = 4096, 1
+SEED = 31
 #: Distinct parts of text whose tokens a worker process keeps.
-KEPT_PARTS = 1_000_000
+KEPT_PARTS = 500_000
+KEPT_BYTES = 32 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
 
 
@@ -65,7 +67,6 @@ class PartEncoder:
         # 0: letters, digits and all that is not ASCII or may not be cut from its neighbours; 1: signs
         self.sign = separators(bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'")))
         self.plain = separators(bytes(b for b in range(128) if chr(b).isalnum()))
-        self.hasher = Hasher(31, fold=False)
         self._empty()
 
     def _empty(self) -> None:
@@ -73,6 +74,9 @@ class PartEncoder:
         self.at = np.empty(0, np.int64)
         self.size = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
+        self.raw = np.empty(0, np.uint8)  # the parts' bytes
+        self.raw_at = np.empty(0, np.int64)
+        self.raw_size = np.empty(0, np.int64)
 
     def parts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the parts of rows laid end to end."""
@@ -91,9 +95,13 @@ class PartEncoder:
         return at[:-1][word], at[1:][word]
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All tokens in order, and where those of each row start (one entry more)."""
+        """All tokens in order, and where those of each row start (one entry more).
+
+        Parts are looked up by hash, and each one's bytes are compared with those
+        of the part found; where they differ, a part's own tokens are used.
+        """
         starts, ends = self.parts(buf, offs)
-        keys = self.hasher.spans(self.hasher.prefix(buf), starts, ends)
+        keys = span_hashes(buf, starts, ends, SEED)
         distinct, first, where = np.unique(keys, return_index=True, return_inverse=True)
         slot = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
@@ -104,11 +112,36 @@ class PartEncoder:
             slot = np.searchsorted(self.keys, distinct)
             if not len(distinct) <= len(self.keys):
                 raise AssertionError("parts were lost")
-        at, size = self.at[slot][where], self.size[slot][where]
+        slot = slot[where]
+        at, size, table = self.at[slot], self.size[slot], self.ids
+        wrong = self._unlike(buf, starts, ends, slot)
+        if len(wrong):
+            own = [self._tokens(bytes(memoryview(buf)[starts[i] : ends[i]])) for i in wrong.tolist()]
+            size[wrong] = [len(x) for x in own]
+            at[wrong] = len(table) + np.cumsum(size[wrong]) - size[wrong]
+            table = np.concatenate([table, *(np.array(x, np.uint32) for x in own)])
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+        ids = table[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, offs)]
 
+    def _unlike(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """The parts whose bytes are not those kept at their slot."""
+        size = ends - starts
+        unlike = size != self.raw_size[slot]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        for lo, hi in chunks(bounds):
+            some = np.flatnonzero(~unlike[lo:hi]) + lo
+            n = size[some]
+            first = np.cumsum(n) - n
+            step = np.arange(int(n.sum()))
+            differ = buf[np.repeat(starts[some] - first, n) + step] != self.raw[np.repeat(self.raw_at[slot[some]] - first, n) + step]
+            if differ.any():
+                unlike[some[np.searchsorted(first, np.flatnonzero(differ), "right") - 1]] = True
+        return np.flatnonzero(unlike)
+
+    def _tokens(self, part: bytes) -> list[int]:
+        return self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
+
     def _learn(self, buf: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw = memoryview(buf)
         found = self.tokenizer.encode_batch_fast([bytes(raw[a:b]).decode() for a, b in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)
@@ -116,18 +149,22 @@ class PartEncoder:
         size = np.array([len(x) for x in new], np.int64)
         at = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, np.array([i for x in new for i in x], np.uint32)])
-        keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        order = np.argsort(keys)
-        self.keys, self.at, self.size = keys[order], at[order], size[order]
+        raw_size = ends - starts
+        raw_at = len(self.raw) + np.cumsum(raw_size) - raw_size
+        self.raw = np.concatenate([self.raw, *(buf[a:b] for a, b in zip(starts.tolist(), ends.tolist()))])
+        order = np.argsort(np.concatenate([self.keys, keys]))
+        new_columns = {"keys": keys, "at": at, "size": size, "raw_at": raw_at, "raw_size": raw_size}
+        for name, values in new_columns.items():
+            setattr(self, name, np.concatenate([getattr(self, name), values])[order])
 
     def trim(self) -> None:
-        if len(self.keys) > KEPT_PARTS:
+        if len(self.keys) > KEPT_PARTS or len(self.raw) > KEPT_BYTES:
             self._empty()
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The tokens of each text."""
         buf, offs = utf8(column)
-        for lo, hi in chunks(offs, 2 << 20):
+        for lo, hi in chunks(offs):
             part = buf[offs[lo] : offs[hi]]
             raw = part.tobytes()
             if any(s in raw for s in self.special):

@@ -12,7 +12,8 @@ context, 68 bytes to either side.
 
 1. One scan finds anchors. Equal contexts within a batch go as one; the later
    ones are repeats as a whole. The first ones are dealt out by anchor.
-2. Per anchor, contexts that equal an earlier one are repeats as a whole.
+2. Per anchor, contexts that equal an earlier one (by their XXH3) are repeats as
+   a whole.
    Anchors with one kind of context are done. Those with several need bytes.
 3. A second scan sends the bytes of the first context of each kind. (Which ones
    are needed is a Bloom filter of at most 2 ** MAX_BITS bits; past its capacity
@@ -44,12 +45,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import CHUNK, Hasher, Stage, mix, shuffle_partitions, sliding, utf8
+from tessera.llm._common import CHUNK, Rolling, Stage, mix, shuffle_partitions, sliding, utf8
 
 LENGTH = 100
 GRAM = 32
 MIN_BITS, MAX_BITS = 20, 29
-HASHER, OTHER = 41, 42
+ROLLING = 41
 
 
 class Shape:
@@ -67,7 +68,7 @@ class Shape:
 # --------------------------------------------------------------- anchors
 
 
-def _anchors(raw: np.ndarray, shape: Shape, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(raw: np.ndarray, shape: Shape, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of a text's anchors; worked on in overlapping parts."""
     n = len(raw)
     if n < shape.length:
@@ -79,8 +80,7 @@ def _anchors(raw: np.ndarray, shape: Shape, hasher: Hasher) -> tuple[np.ndarray,
         part = raw[a:b]
         if len(part) < shape.length:
             continue
-        sums = hasher.prefix(part)
-        h = mix((sums[GRAM:] - sums[:-GRAM]) * hasher.down[: len(part) - GRAM + 1])
+        h = rolling.windows(part)
         least = sliding(h, shape.width, np.minimum)
         pad = np.zeros(shape.width - 1, np.uint64)
         at = np.flatnonzero(sliding(np.concatenate([pad, least, pad]), shape.width, np.maximum) == h)
@@ -90,14 +90,10 @@ def _anchors(raw: np.ndarray, shape: Shape, hasher: Hasher) -> tuple[np.ndarray,
     return np.concatenate(hashes), np.concatenate(places)
 
 
-def _context_hashes(raw: np.ndarray, at: np.ndarray, shape: Shape, hasher: Hasher) -> np.ndarray:
+def _context_hashes(raw: np.ndarray, at: np.ndarray, shape: Shape) -> np.ndarray:
     lo, hi = np.maximum(at - shape.reach, 0), np.minimum(at + shape.length, len(raw))
-    out = np.empty(len(at), np.uint64)
-    for a in range(0, len(at), 1 << 15):  # anchors are in order, so a part of the text serves each run of them
-        s, e = lo[a : a + (1 << 15)], hi[a : a + (1 << 15)]
-        base = int(s[0])
-        sums = hasher.prefix(raw[base : int(e[-1])])
-        out[a : a + (1 << 15)] = hasher.spans(sums, s - base, e - base)
+    text = memoryview(raw)
+    out = np.array([xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(lo.tolist(), hi.tolist())], np.uint64)
     return mix(out ^ (at - lo).astype(np.uint64))  # a cut at an end of the text is part of the context
 
 
@@ -204,16 +200,16 @@ def _scan(buckets: int, shape: Shape):
         yield _record(PACKED, bucket=some, packed=[_pack(firsts[ends[b] - size[b] : ends[b]]) for b in some])
 
     def run(batches):
-        hasher, other = Hasher(HASHER, fold=False), Hasher(OTHER, fold=False)
+        rolling = Rolling(ROLLING, GRAM)
         parts, held = [], 0
         for batch in batches:
             ranks, twins = batch.column("rank").to_pylist(), batch.column("twin").to_pylist()
             for i, raw in _texts(batch):
-                h, at = _anchors(raw, shape, hasher)
+                h, at = _anchors(raw, shape, rolling)
                 if not len(at):
                     continue
                 e = np.empty(len(at), ENTRY)
-                e["anchor"], e["context"] = h, _context_hashes(raw, at, shape, other)
+                e["anchor"], e["context"] = h, _context_hashes(raw, at, shape)
                 e["rank"], e["twin"], e["at"] = ranks[i], twins[i], at
                 e["after"] = np.minimum(len(raw) - at, shape.length)
                 parts.append(e)
@@ -304,14 +300,14 @@ def _contexts(shape: Shape, log_bits: int, buckets: int, shared):
             yield _record(CONTEXTS, bucket=[b], packed=[zlib.compress(packed, 1)])
 
     def run(batches):
-        hasher = Hasher(HASHER, fold=False)
+        rolling = Rolling(ROLLING, GRAM)
         needed = shared.value
         reach, half, length = shape.reach, shape.half, shape.length
         heads, parts, held = [], [], 0
         for batch in batches:
             ranks, twins = batch.column("rank").to_pylist(), batch.column("twin").to_pylist()
             for i, raw in _texts(batch):
-                h, at = _anchors(raw, shape, hasher)
+                h, at = _anchors(raw, shape, rolling)
                 if not len(at):
                     continue
                 yes = np.ones(len(at), bool)

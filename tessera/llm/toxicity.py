@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Hasher, chunks, documents, fresh, separators, utf8, word_hashes
+from tessera.llm._common import chunks, documents, fresh, separators, utf8, word_hashes
 
 MAX_POSITIVE, MAX_UNLABELLED = 5_000, 10_000
 FOLDS = 5
@@ -42,10 +42,10 @@ HASHER = 61
 
 def word_ids(batch: pa.RecordBatch):
     """The distinct words of each text, as numbers below 2 ** LOG_WORDS."""
-    sep, hasher = separators(SEPARATORS), Hasher(HASHER)
+    sep = separators(SEPARATORS)
     buf, offs = utf8(batch.column("text"))
     for lo, hi in chunks(offs):
-        h, first = word_hashes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], sep, hasher)
+        h, first = word_hashes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], sep, HASHER)
         h = (h >> np.uint64(64 - LOG_WORDS)).astype(np.int32)
         for i in range(hi - lo):
             yield np.unique(h[first[i] : first[i + 1]])

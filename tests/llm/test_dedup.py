@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tests_support import thue_morse
+from tessera.llm._common import span_hashes
 from tessera.llm.decontaminate import contamination_report, decontaminate
 from tessera.llm.exact_dedup import CuckooIndex, exact_dedup, exact_groups
 from tessera.llm.line_dedup import line_dedup, line_report
@@ -139,6 +141,46 @@ def test_suffix_on_random_overlaps(frame, seed):
     assert suffix_result(frame(rows)) == brute_suffix(rows)
 
 
+@pytest.mark.parametrize("size", [256, 1024, 4096])
+def test_words_that_power_sums_take_as_equal(spark, frame, size):
+    one, two = thue_morse(size)
+    rows = [(1, one), (2, two), (3, f"x {one} y"), (4, f"x {two} y"), (5, one[64:] + two[:64])]
+    assert suffix_result(frame(rows)) == brute_suffix(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_groups(frame(rows), words=4).collect()}
+    assert got == brute_near(rows, 4)
+    items = [(7, one), (8, two[:64])]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination_report(frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_contamination(rows, items)
+
+
+def test_span_hashes_differ_by_bytes_and_length():
+    rng = np.random.default_rng(7)
+    spans = {bytes(rng.integers(0, 3, n).astype(np.uint8)) for n in (*range(1, 20), 63, 64, 65, 200) for _ in range(300)}
+    spans |= {b"\0" * n for n in range(1, 80)}
+    spans = sorted(spans)
+    ends = np.cumsum([len(s) for s in spans])
+    starts = ends - [len(s) for s in spans]
+    buf = np.frombuffer(b"".join(spans), np.uint8)
+    assert len(np.unique(span_hashes(buf, starts, ends, 3))) == len(spans)
+    # the place in the buffer plays no part
+    moved = span_hashes(np.frombuffer(b"zzz" + b"".join(spans), np.uint8), starts + 3, ends + 3, 3)
+    assert (moved == span_hashes(buf, starts, ends, 3)).all() and (moved != span_hashes(buf, starts, ends, 4)).all()
+
+
+def test_texts_of_several_mib(spark, frame):
+    rng = np.random.default_rng(11)
+    vocabulary = np.array([f"w{i}" for i in range(40_000)])
+    long = " ".join(rng.choice(vocabulary, 500_000))  # 3 MiB
+    again = long[:1_400_000] + " " + " ".join(rng.choice(vocabulary, 30)) + long[1_400_000:]
+    rows = [(1, long), (2, again), (3, long[700_000:700_400]), (4, None)]
+    assert suffix_result(frame(rows)) == brute_suffix(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_groups(frame(rows), words=4).collect()}
+    assert got == brute_near(rows, 4)
+    items = [(1, long[1_000_000:1_000_300]), (2, long[-200:])]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination_report(frame(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_contamination(rows, items)
+
+
 def test_suffix_edges(frame):
     x = "".join(chr(97 + i % 26) + str(i) for i in range(60))
     rows = suffix_dedup(frame([(None, x), (1, x), (1, x), (2, None), (3, "short")])).collect()

@@ -12,6 +12,7 @@ from tessera.llm.packing import PartEncoder, default_vocabulary, make_plan, pack
 from tessera.llm.secret_scan import base_spans, encoder, joined, random_spans, scan_secrets
 from tessera.llm.secret_scan import default_vocabulary as scan_vocabulary
 from tessera.llm.sharding import hilbert_index, hilbert_shards
+from tests_support import thue_morse
 from tessera.llm.toxicity import drop_toxic, score_toxicity, telling_words, toxicity_report, train
 
 # ------------------------------------------------------------------ html
@@ -169,6 +170,30 @@ def test_part_tokens_are_those_of_the_whole_text():
         assert [x.tolist() for x in mine.texts(pa.array(texts, pa.string()))] == expected
 
 
+@pytest.mark.parametrize("size", [256, 1024, 4096])
+def test_tokens_of_words_that_power_sums_take_as_equal(size):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(default_vocabulary())
+    texts = list(thue_morse(size))
+    mine = PartEncoder(default_vocabulary())
+    assert [x.tolist() for x in mine.texts(pa.array(texts, pa.string()))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokens_are_right_whatever_the_hash(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tessera.llm import packing
+
+    # all parts of one length collide
+    monkeypatch.setattr(packing, "span_hashes", lambda buf, starts, ends, seed: (ends - starts).astype(np.uint64))
+    whole = Tokenizer.from_file(default_vocabulary())
+    texts = ["one two six", "red dog", "two", "", "seven eight nine ten", "x" * 50 + " six"]
+    mine = PartEncoder(default_vocabulary())
+    for _ in range(2):
+        assert [x.tolist() for x in mine.texts(pa.array(texts, pa.string()))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_packs_every_piece_once_and_tightly(seed):
     rng = np.random.default_rng(seed)
@@ -302,7 +327,7 @@ def test_where_all_rows_are_labelled_any_stand_in_for_unlabelled(spark, frame, m
     monkeypatch.setattr(toxicity, "train", lambda *found: seen.append(found))
     toxicity.fit(frame(rows), labels)
     ids = frame(rows).filter(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(100)
-    expected = Counter(w for _, w in toxicity._pairs(ids.select(F.lit(2).alias("kind"), "text")))
+    expected = Counter(w.tobytes() for w in toxicity.word_ids(pa.array([r.text for r in ids.collect()], pa.string())))
     positive, mixed, clean, _ = seen[0]
     assert (len(positive), len(clean)) == (20, 20) and Counter(w.tobytes() for w in mixed) == expected
 

@@ -4,6 +4,12 @@ import re
 from collections import Counter, defaultdict
 
 
+def thue_morse(size: int) -> tuple[str, str]:
+    """Two different words of that size that many polynomial hashes take as equal."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(size))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def brute_near_ids(texts: dict, k: int, percent: int) -> set:
     """The least id of each group of near-copies."""
     root = {d: d for d in texts}
