@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.staging import Stage, shuffle_partitions
 
-__all__ = ["CHUNK", "SPACES", "Rolling", "Stage", "chunks", "documents", "fresh", "grams", "mix", "separators", "shuffle_partitions", "sliding", "span_hashes", "utf8", "winnow", "word_hashes"]
+__all__ = ["CHUNK", "SPACES", "Rolling", "Stage", "chunks", "documents", "fresh", "grams", "mix", "separators", "shuffle_partitions", "small_batches", "sliding", "span_hashes", "utf8", "winnow", "word_hashes"]
 
 #: Bytes of text that numpy works on at a time.
 CHUNK = 1 << 18
@@ -24,6 +24,7 @@ CHUNK = 1 << 18
 LONG = 64
 #: ASCII white space of the word and line rules: space and 0x09 to 0x0D.
 SPACES = b" \t\n\x0b\x0c\r"
+SMALL_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 #: Masks of the first 0 to 8 bytes of a little-endian number.
@@ -45,8 +46,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that moves long texts in small batches.
+
+    A batch of Spark's usual size holds tens of megabytes of text, several times
+    over, in each task. Settings that the session has of its own stay.
+    """
+    conf = df.sparkSession.conf
+    for key, value in SMALL_BATCHES.items():
+        if conf.get(key, None) is None:
+            conf.set(key, value)
+    return df
+
+
 def documents(df: DataFrame) -> DataFrame:
     """doc_id as long and text as string; other columns play no part."""
+    small_batches(df)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

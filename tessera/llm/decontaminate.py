@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Stage, chunks, fresh, grams, mix, separators, utf8, winnow, word_hashes
+from tessera.llm._common import Stage, chunks, fresh, grams, mix, separators, small_batches, utf8, winnow, word_hashes
 
 WINDOW, GRAM = 13, 5
 MAP_BITS = 23  # of the bitmap of the items' fingerprints: 1 MB
@@ -148,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     items: the ids of the items whose windows occur, as sorted strings.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     stage = Stage(spark, "winnow")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     theirs = stage.put(items.mapInArrow(_item_prints, "item_id long, length int, print long, item_words binary").distinct(), "items")

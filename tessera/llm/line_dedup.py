@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import SPACES, Stage, fresh, mix, shuffle_partitions
+from tessera.llm._common import SPACES, Stage, fresh, mix, shuffle_partitions, small_batches
 
 MIN_CHARS, MIN_DOCS = 40, 5
 HASHES = 4
@@ -163,7 +163,7 @@ def _drop(names: list[str], text: str, drops: str, min_chars: int):
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the repeated lines gone from text, plus n_lines and n_dropped."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     stage = Stage(spark, "lines")
     rows = docs.drop("n_lines", "n_dropped")
     texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Stage, shuffle_partitions
+from tessera.llm._common import Stage, shuffle_partitions, small_batches
 
 SHARDS, BITS = 24, 4
 DIMENSIONS = ("source", "lang", "size", "doc_id")
@@ -80,7 +80,7 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and the curve index."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     stage = Stage(spark, "hilbert")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
     kinds = dict(docs.dtypes)

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import CHUNK, Rolling, Stage, mix, shuffle_partitions, sliding, utf8
+from tessera.llm._common import CHUNK, Rolling, Stage, mix, shuffle_partitions, sliding, small_batches, utf8
 
 LENGTH = 100
 GRAM = 32
@@ -500,7 +500,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     kept is binary: a cut may fall inside a character.
     """
-    spark, shape = docs.sparkSession, Shape(length)
+    spark, shape = small_batches(docs).sparkSession, Shape(length)
     stage = Stage(spark, "suffix")
     buckets = shuffle_partitions(spark)
     text = F.col("text").cast("string")

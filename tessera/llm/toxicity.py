@@ -16,8 +16,8 @@ prior counts all training labels, and every text is scored as a whole.
 
 Defined cases: null text is empty and gets the score of no words. Null doc_ids
 are scored, held_out is false for them, and nothing is learned from them. Rows
-that share a doc_id share its label; the least of their texts is learned from. A doc_id that is labelled both ways counts
-as toxic; null labels don't count. Without labels of both kinds there is nothing
+that share a doc_id share its label; one of their texts, that of the least hash,
+is learned from. A doc_id that is labelled both ways counts as toxic; null labels don't count. Without labels of both kinds there is nothing
 to learn: all scores are the prior (0 if there is none). An empty table stays
 empty. Other columns are not read.
 """
@@ -26,10 +26,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import chunks, documents, fresh, separators, utf8, word_hashes
+from tessera.llm._common import chunks, documents, separators, utf8, word_hashes
 
 MAX_POSITIVE, MAX_UNLABELLED = 5_000, 10_000
 FOLDS = 5
@@ -40,10 +41,10 @@ SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 HASHER = 61
 
 
-def word_ids(batch: pa.RecordBatch):
+def word_ids(texts: pa.Array):
     """The distinct words of each text, as numbers below 2 ** LOG_WORDS."""
     sep = separators(SEPARATORS)
-    buf, offs = utf8(batch.column("text"))
+    buf, offs = utf8(texts)
     for lo, hi in chunks(offs):
         h, first = word_hashes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], sep, HASHER)
         h = (h >> np.uint64(64 - LOG_WORDS)).astype(np.int32)
@@ -159,13 +160,22 @@ def _calibrate(model: Classifier, positive: list[np.ndarray], clean: list[np.nda
     model.offset = -model.slope * cut
 
 
-def _sample(ids: DataFrame, n: int) -> DataFrame:
+def _sample(ids: DataFrame, n: int, rows: int) -> DataFrame:
+    """The n of those rows that have the least hashes.
+
+    Each task passes on what is below a bound that some 4 n of all rows are
+    below, so that the last sort gets no more from many tasks than from few.
+    """
+    if rows > 8 * n:
+        ids = ids.filter(F.xxhash64("doc_id") < F.lit(4 * n * 2**64 // rows - 2**63))
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
 def _words(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array([w.tobytes() for w in word_ids(batch)], pa.binary())], names=["kind", "words"])
+        words = [w.tobytes() for w in word_ids(batch.column("text"))]
+        digests = [xxhash.xxh3_64_intdigest(w) >> 1 for w in words]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("kind"), pa.array(digests, pa.int64()), pa.array(words, pa.binary())], names=["doc_id", "kind", "digest", "words"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
@@ -174,58 +184,51 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = documents(docs).select("doc_id").filter("doc_id is not null").filter(~held_out(F.col("doc_id"))).distinct()
     known = ids.join(marked, "doc_id", "left")
-    rows, n, toxic = known.agg(F.count(F.lit(1)), F.count("toxic"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    rows, n, toxic = known.agg(F.count(F.lit(1)), F.count("toxic"), F.count_if(F.col("toxic") == 1)).first()
     model = Classifier(toxic / n if n else 0.0)
     if not 0 < toxic < n:
         return model
     # where all rows are labelled, any of them stand in for unlabelled ones, labels unread
     unlabelled = known if n == rows else known.filter("toxic is null")
     picked = (
-        _sample(known.filter("toxic = 1"), MAX_POSITIVE)
+        _sample(known.filter("toxic = 1"), MAX_POSITIVE, toxic)
         .withColumn("kind", F.lit(1))
-        .unionByName(_sample(known.filter("toxic = 0"), MAX_POSITIVE).withColumn("kind", F.lit(0)))
-        .unionByName(_sample(unlabelled, MAX_UNLABELLED).withColumn("kind", F.lit(2)))
+        .unionByName(_sample(known.filter("toxic = 0"), MAX_POSITIVE, n - toxic).withColumn("kind", F.lit(0)))
+        .unionByName(_sample(unlabelled, MAX_UNLABELLED, rows if n == rows else rows - n).withColumn("kind", F.lit(2)))
         .select("doc_id", "kind")
     )
     # the bound on the picked rows bounds what is broadcast and, with a text per id, what comes to the driver
-    texts = documents(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text")).select("kind", "text")
+    words = documents(docs).join(F.broadcast(picked), "doc_id").mapInArrow(_words, "doc_id long, kind int, digest long, words binary")
+    table = words.groupBy("doc_id", "kind").agg(F.min(F.struct("digest", "words")).alias("least")).select("kind", "least.words").toArrow()
     found: dict[int, list] = {0: [], 1: [], 2: []}
-    for kind, words in _pairs(texts):
-        found[kind].append(np.frombuffer(words, np.int32))
+    # sorted, so that the fit doesn't depend on the order in which tasks end
+    for kind, own in sorted(zip(table.column("kind").to_pylist(), table.column("words").to_pylist())):
+        found[kind].append(np.frombuffer(own, np.int32))
     return train(found[1], found[2], found[0], model.prior)
 
 
-def _pairs(texts: DataFrame):
-    # sorted, so that the fit doesn't depend on the order in which tasks end
-    table = texts.mapInArrow(_words, "kind int, words binary").toArrow()
-    return sorted(zip(table.column("kind").to_pylist(), table.column("words").to_pylist()))
-
+def toxicity_score(docs: DataFrame, labels: DataFrame) -> Column:
+    """The score of a row of docs, by its column text; no other column goes to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-def _score(shared, names: list[str], score: str, predicted: str):
-    def run(batches):
-        model = shared.value
-        for batch in batches:
-            scores = model.scores(list(word_ids(batch)))
-            new = {score: pa.array(scores), predicted: pa.array((scores >= 0.5).astype(np.int32))}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores(list(word_ids(text))))
 
-    return run
+    return score(F.col("text").cast("string"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """docs with the two columns; columns of these names are replaced."""
-    rows = docs.drop(score, predicted).withColumn("text", F.col("text").cast("string"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{score} double", f"{predicted} int"])
-    return rows.mapInArrow(_score(shared, [*rows.columns, score, predicted], score, predicted), schema)
+    rows = docs.drop(score, predicted)
+    return rows.withColumn(score, toxicity_score(docs, labels)).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    scored = score_toxicity(documents(docs), labels)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    scored = documents(docs).select("doc_id", toxicity_score(docs, labels).alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns."""
-    score, predicted = fresh(docs, "score", "predicted")
-    return score_toxicity(docs, labels, score, predicted).filter(F.col(predicted) == 0).select(*(f"`{c}`" for c in docs.columns))
+    return docs.filter(toxicity_score(docs, labels) < 0.5)
