@@ -8,11 +8,13 @@ others. The container around all content is taken as a whole, so that short line
 are not lost; outside articles its lists of links are left out. Where articles
 (article, main) hold half of the text or of the content, all else is none. Lines
 in menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-and hidden parts are no content, whatever their ratio, nor are articles in them,
-see ``_able``.
+and hidden parts are no content, whatever their ratio, nor are articles in them
+or with such a name, see ``_able``. The end of an article or of a container ends
+what was left open in it.
 
 Character references are decoded, white space inside a block becomes one space,
 lines are trimmed, empty ones left out, and joined in page order by a newline.
+No string makes the parser fail: unknown declarations are comments.
 
 Defined cases: null or empty html, or a page without content: an empty text. Ids
 and urls may be null or repeated: each row is judged alone. An empty table stays
@@ -30,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import small_batches
+
 # fixed values: names of elements, and of classes, ids and roles
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -70,6 +74,7 @@ class Held:
     depth: int
     number: int
     containers: int
+    named: bool  # an article that is boilerplate by its own name
 
 
 class Lines(HTMLParser):
@@ -91,6 +96,7 @@ class Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self.flush()
+        self.closed.update(h.number for h in self.held if h.named)
         self._leave(0)
         self.last[0] = len(self.last) - 1
 
@@ -128,23 +134,30 @@ class Lines(HTMLParser):
             h.depth += tag == h.tag
         if self.skip and tag in CONTAINERS and self.skip not in ("template", "noscript", "svg"):
             if self.skip != "p":  # an article ends a paragraph
-                self.levels.append(max(self.level, self.levels[self.held[-1].number] if self.held else 0))
-                self.held.append(Held(self.skip, self.depth, len(self.levels) - 1, len(self.open)))
+                self._hold(self.skip, self.depth, self.level, False)
             self.skip = ""
         if self.skip:
             self.depth += tag == self.skip
         elif level := self._boilerplate(tag, attrs):
+            if tag == "article" and level < UNSEEN:  # kept apart, as the name may mislead
+                self._hold(tag, 1, level, True)
+                self._enter(tag)
+                return
             self.flush()
             self.skip, self.depth, self.level = tag, 1, level
         elif tag in CONTAINERS or tag in WEAK_CONTAINERS:
             self._enter(tag)
 
+    def _hold(self, tag: str, depth: int, level: int, named: bool) -> None:
+        self.levels.append(max(level, self.levels[self.held[-1].number] if self.held else 0))
+        self.held.append(Held(tag, depth, len(self.levels) - 1, len(self.open), named))
+
     def _boilerplate(self, tag, attrs) -> int:
         inside = bool(self.open and self.open[-1][2])
         level = 0
         if tag in BOILERPLATE and not (tag == "header" and inside):
             level = SOFT if tag == "form" else HARD
-        if tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body", "main"):
             return 0
         for name, value in attrs:
             value = value or ""
@@ -183,14 +196,24 @@ class Lines(HTMLParser):
                 if not self.depth:
                     self.flush()
                     self.skip = ""
-            elif tag in ("body", "html"):
+                return
+            if tag in ("body", "html"):
                 self.skip = ""
-            return
+            elif tag in CONTAINERS and any(x[0] == tag for x in self.open):  # ends all that is open in it
+                self.skip = ""
+            else:
+                return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
+                while tag != "body" and self.held and self.held[-1].containers > i:
+                    self.closed.add(self.held.pop().number)
                 self._leave(i)
                 break
 
+    def parse_marked_section(self, i, report=1):
+        """<![...]> is no markup of web pages: a comment up to the next >."""
+        return self.parse_bogus_comment(i)
+
     def handle_data(self, data):
         self.words.append(data)
         if self.anchors:
@@ -277,5 +300,5 @@ def _extract(batches):
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -1,4 +1,5 @@
 import hashlib
+import html
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -41,7 +42,10 @@ def test_page_without_article_is_judged_by_ratios():
         ("<nav>only a menu</nav>", ""),
         ("<article><p>cut off &am", "cut off &am"),
         ("<div class=ad><article><p>never closed before</p></article>", "never closed before"),
+        ("<div class=ad>Buy<article><p>never closed before</p></article></body></html>", "never closed before"),
         ("plain text", "plain text"),
+        ("<p>hello <![foo[bar]]> x</p>", "hello x"),
+        ("<p>a<![CDATA[b]]>c", "ac"),
         ("<article>" + "<p>x</p>" * 5000 + "</article>", "\n".join("x" * 5000)),
     ],
 )
@@ -49,6 +53,58 @@ def test_html_edges(page, text):
     assert main_text(page) == text
 
 
+MAIN = "The main text of the page."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<main><p>{}</p><section id=comments><article class=comment>No</article><article class=comment>No</article></section></main>",
+        "<main><p>{}</p></main><div id=comments><article class=comment>No</article></div>",
+        "<article><p>{}</p></article><aside><article>No</article></aside>",
+        "<article><p>{}</p></article><footer><article>No</article></footer>",
+        "<article><p>{}</p><article class=comment>No</article></article>",
+        "<main><p>{}</p></main><article class='user-comment'>No</article>",
+        "<main><p>{}</p></main><article class=comment>No",
+        "<article><p>{}</p><article role=complementary>No</article><div class=ad>No</div></article>",
+        "<article><p>{}</p><aside>No<article>No</article></article>",
+        "<article><aside>No</article><article><p>{}</p></article>",
+        "<div><p>{}</p></div><aside><div>No<article>No</article></div></aside>",
+    ],
+)
+def test_comments_cards_and_adverts_in_articles_are_no_content(page):
+    assert main_text(page.format(MAIN)) == MAIN
+
+
+def test_no_string_makes_the_parser_fail():
+    rng = np.random.default_rng(2)
+    page = "<!DOCTYPE html><html><body><nav class='menu'><a href=\"x\">M</a></nav><article id=a><!-- c --><h1>T &amp; &#x41;</h1><p>Text <![CDATA[x]]> <b>bold</b><br/></p><script>if(a<b){}</script><aside><article>c</article></aside></article><?php x?></body></html>"
+    bits = ["<![", "<!", "]]>", "</", "<", ">", "&", "&#", "&#x110000;", "<!--", "-->", "<?", "'", '"', "<script>", "<svg>", "</article>", "<article class=ad>", "\0", "<textarea>", "<title>", "</p", "=", "é"]
+    for i in range(len(page)):
+        main_text(page[:i])
+    for _ in range(3000):
+        mutated = page
+        for _ in range(int(rng.integers(1, 6))):
+            at, to = sorted(rng.integers(0, len(mutated) + 1, 2).tolist())
+            mutated = mutated[:at] + bits[int(rng.integers(len(bits)))] + mutated[at if rng.random() < 0.7 else to :]
+        main_text(mutated)
+
+
+def brute_main_text(page):
+    """The article of a page of the test tables, by its source."""
+    source = re.search("<article>(.*?)</article>", page, re.DOTALL)[1]
+    blocks = re.split(r"</?(?:h1|h2|p|ul|li|div)>", source)
+    lines = (" ".join(html.unescape(re.sub("</?b>", "", b.replace("<br>", " "))).split()) for b in blocks)
+    return "\n".join(x for x in lines if x)
+
+
+def test_pages_match_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in extract_text(pages).collect()}
+    expected = {r.page_id: brute_main_text(r.html) for r in pages.collect()}
+    assert got == {i: (t, len(t)) for i, t in expected.items()}
+
+
 LONG = "A long sentence of plain words that goes on for quite a while. " * 8
 
 
