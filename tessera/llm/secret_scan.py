@@ -9,8 +9,10 @@ The added kind:
   fewer than MAX_RATIO characters per token of a public vocabulary. Texts people
   write have longer tokens. Of a string that has more, the parts between / and =
   are tried, then those between + _ and -, so that words joined to a secret don't
-  hide it. Known digests (hexadecimal strings of the usual lengths), UUIDs, the
-  alphabet and strings without a letter are no candidates.
+  hide it. Known digests (hexadecimal strings of the usual lengths, object paths),
+  UUIDs, numbers and dates are cut out first, wherever they stand in a string.
+  Strings without a letter, sequences such as the alphabet, strings of fewer than
+  MIN_DISTINCT characters and the content of data URIs are no candidates.
 
 Spans are code points, the end exclusive. Whole texts are read.
 
@@ -39,11 +41,21 @@ MIN_VALUE, MIN_ACCESS = 12, 18
 
 MIN_CHARS, MAX_RATIO = 20, 2.2
 STRING = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}")
-DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{48}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
-UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
-ALPHABET = "abcdefghijklmnopqrstuvwxyz" * 2
-LETTER = re.compile(r"[A-Za-z]")
 PARTS = tuple(re.compile(rf"[{chars}]{{{MIN_CHARS},}}") for chars in ("A-Za-z0-9+_-", "A-Za-z0-9"))
+LETTER = re.compile(r"[A-Za-z]")
+HEX_DIGITS = "[0-9a-f]"
+#: Known digests, UUIDs, and numbers, dates or versions; each between other characters than letters and digits.
+KNOWN = re.compile(
+    "(?<![A-Za-z0-9])(?:"
+    + "|".join(f"{HEX_DIGITS}{{{n}}}" for n in (32, 40, 48, 56, 64, 96, 128))
+    + f"|{HEX_DIGITS}{{2}}/(?:{HEX_DIGITS}{{38}}|{HEX_DIGITS}{{62}})"
+    + f"|{HEX_DIGITS}{{8}}(?:-{HEX_DIGITS}{{4}}){{3}}-{HEX_DIGITS}{{12}}"
+    + "|[0-9][0-9/_+-]{2,}[0-9]"
+    + ")(?![A-Za-z0-9])",
+    re.IGNORECASE,
+)
+DATA_URI = ";base64,"
+MIN_DISTINCT = 6
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -67,12 +79,24 @@ def base_spans(text: str) -> Iterator[Span]:
 
 def random_spans(text: str, encode) -> Iterator[Span]:
     for m in STRING.finditer(text):
-        yield from _random_parts(m[0], m.start(), encode, PARTS)
+        if text.endswith(DATA_URI, 0, m.start()):
+            continue
+        at, found = m.start(), m[0]
+        cuts = [k.span() for k in KNOWN.finditer(found)]
+        for lo, hi in zip([0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(found)]):
+            yield from _random_parts(found[lo:hi], at + lo, encode, PARTS)
+
+
+def _candidate(found: str) -> bool:
+    """Long enough, with letters, and neither a sequence (abc, 123) nor of few characters (ACGT)."""
+    if len(found) < MIN_CHARS or not LETTER.search(found) or len(set(found)) < MIN_DISTINCT:
+        return False
+    return 2 * sum(ord(b) - ord(a) in (0, 1) for a, b in zip(found, found[1:])) < len(found)
 
 
 def _random_parts(found: str, at: int, encode, parts: tuple[re.Pattern, ...]) -> Iterator[Span]:
     """The string, or else those of its parts that are random."""
-    if not LETTER.search(found) or DIGEST.fullmatch(found) or UUID.fullmatch(found) or found.lower() in ALPHABET:
+    if not _candidate(found):
         return
     if len(found) < MAX_RATIO * len(encode(found)):
         yield at, 3, at + len(found)

@@ -179,6 +179,7 @@ def test_random_strings_and_what_is_not_one():
     assert found(f"see {key}, and more") == [key]
     assert found("24be64439e3e49cf46b2d7c90f3602a3d0b907ff") == []
     assert found("123e4567-e89b-12d3-a456-426614174000") == []
+    assert found(f"sha256=24be64439e3e49cf46b2d7c90f3602a3d0b907ff/{key}") == ["/" + key]
     assert found("internationalization-of-version-2-documents") == []
     assert found("12345678901234567890123") == [] and found("Donaudampfschifffahrtsgesellschaft") == []
 
@@ -198,6 +199,63 @@ def test_random_letters_and_secrets_joined_to_words():
     assert found("AbstractSingletonProxyFactoryBean abcdefghijklmnopqrstuvwxyz Kraftfahrzeughaftpflichtversicherung") == []
 
 
+def test_planted_secrets_are_told_from_identifiers():
+    rng = np.random.default_rng(12)
+    encode = encoder(scan_vocabulary())
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    hexa, alnum = digits + "abcdef", lower + lower.upper() + digits
+
+    def draw(chars, n):
+        return "".join(rng.choice(list(chars), n))
+
+    def uuid():
+        return "-".join(draw(hexa, n) for n in (8, 4, 4, 4, 12))
+
+    nouns = "customer order invoice report title market river window history garden public system letter".split()
+
+    def words(n, sep):
+        return sep.join(rng.choice(nouns, n))
+
+    secrets = [
+        lambda: draw(alnum, 20),
+        lambda: draw(alnum, 40),
+        lambda: draw(lower, 24),
+        lambda: draw(lower.upper(), 32),
+        lambda: draw(lower + digits, 36),
+        lambda: draw(alnum + "+/", 43) + "=",
+        lambda: draw(alnum + "-_", 40),
+        lambda: "ghp_" + draw(alnum, 36),
+        lambda: "sk_live_" + draw(alnum, 24),
+        lambda: "session_identifier=" + draw(alnum, 24),
+        lambda: "/api/v1/users/" + draw(alnum, 24) + "/items",
+    ]
+    plain = [
+        lambda: draw(hexa, 64),
+        lambda: "sha256=" + draw(hexa, 64),
+        lambda: "objects/" + draw(hexa, 2) + "/" + draw(hexa, 38),
+        lambda: f"file_{draw(hexa, 40)}.txt",
+        lambda: "id=" + uuid(),
+        lambda: f"req_{uuid()}_x",
+        lambda: f"/api/v1/users/{draw(digits, 20)}/items",
+        lambda: "2024-01-{:02d}-{}".format(int(rng.integers(1, 29)), words(5, "-")),
+        lambda: words(5, "_"),
+        lambda: "".join(w.title() for w in rng.choice(nouns, 5)),
+        lambda: f"https://example.org/{words(3, '/')}/2024/10/12/{words(4, '-')}?page=12&ref={words(3, '_')}",
+        lambda: draw("ACGT", 60),
+        lambda: "+1-202-555-" + draw(digits, 4) + "-ext-" + draw(digits, 4),
+        lambda: draw("=-", 30) + words(2, "_"),
+        lambda: "data:image/png;base64," + draw(alnum, 200),
+    ]
+    found = {True: [], False: []}
+    for kinds, secret in ((secrets, True), (plain, False)):
+        for kind in kinds:
+            for _ in range(40):
+                text = f"{words(6, ' ')} {kind()}, {words(6, ' ')}"
+                found[secret].append(bool(list(random_spans(text, encode))))
+    hits, alarms = sum(found[True]), sum(found[False])
+    assert hits / len(found[True]) >= 0.95 and hits / (hits + alarms) >= 0.95
+
+
 def test_scan_rows(frame):
     rows = [(i, t) for i, t in enumerate(SECRETS)] + [(None, None), (7, "x" * 200_000 + " token=abcdefghijklmnop")]
     got = {r.doc_id: r for r in scan_secrets(frame(rows, clash=True)).collect()}
