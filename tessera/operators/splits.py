@@ -1,7 +1,7 @@
 """Histograms and split candidates.
 
-Histograms are one aggregation over (node, feature, bin), with map-side sums;
-their size depends on knots and codes and not on rows. Candidates come from them
+Histograms are sums over (node, feature, bin), added up within tasks first; their
+size depends on knots and codes and not on rows. Candidates come from them
 in two ways: ``split_table`` as window expressions, and ``best_split`` on the
 driver while a tree grows.
 """
@@ -55,14 +55,40 @@ def with_bins(df: DataFrame, encoders: Encoders) -> DataFrame:
 
 
 def histogram(df: DataFrame, node: Column) -> DataFrame:
-    """node, feature, bin and the sums g, h, gz, hz, hzz and n."""
-    cells = F.inline(F.arrays_zip(F.sequence(F.lit(0), F.size("bins") - 1).alias("feature"), F.col("bins").alias("bin"), F.col("zs").alias("z")))
-    long = df.select(node.alias("node"), "g", "h", "bins", "zs").select("node", "g", "h", cells).toDF("node", "g", "h", "feature", "bin", "z")
-    g, h, z = F.col("g"), F.col("h"), F.col("z")
-    present = F.when(F.col("bin") >= 0, 1.0).otherwise(0.0)  # a missing number has no z
-    return long.groupBy("node", "feature", "bin").agg(
-        F.sum(g).alias("g"), F.sum(h).alias("h"), F.sum(g * z * present).alias("gz"), F.sum(h * z * present).alias("hz"), F.sum(h * z * z * present).alias("hzz"), F.count(F.lit(1)).alias("n")
-    )
+    """node, feature, bin and the sums g, h, gz, hz, hzz and n.
+
+    Each task adds up its rows in arrays of nodes x features x bins; only these
+    sums are shuffled.
+    """
+    rows = df.select(node.cast("int").alias("node"), "g", "h", "bins", "zs")
+    parts = rows.mapInArrow(_cells, "node int, feature int, bin int, g double, h double, gz double, hz double, hzz double, n long")
+    return parts.groupBy("node", "feature", "bin").agg(*(F.sum(c).alias(c) for c in (*SUMS, "n")))
+
+
+def _cells(batches):
+    sums: dict[tuple[int, int, int], np.ndarray] = {}
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        bins = batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.int64)
+        z = batch.column("zs").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        g, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("g", "h"))
+        nodes, node = np.unique(batch.column("node").to_numpy(zero_copy_only=False), return_inverse=True)
+        z = np.where(bins >= 0, z, 0.0)  # a missing number has no z
+        for f in range(bins.shape[1]):
+            width = int(bins[:, f].max()) + 2
+            at = node * width + bins[:, f] + 1
+            some = np.flatnonzero(np.bincount(at))
+            zf = z[:, f]
+            found = np.stack([np.bincount(at, w)[some] for w in (g, h, g * zf, h * zf, h * zf * zf, None)], axis=1)
+            for k, row in zip(some.tolist(), found):
+                key = (int(nodes[k // width]), f, k % width - 1)
+                sums[key] = sums[key] + row if key in sums else row
+    if sums:
+        keys, values = np.array(list(sums), np.int32), np.array(list(sums.values()))
+        columns = [*keys.T, *values.T[:5], values[:, 5].astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["node", "feature", "bin", *SUMS, "n"])
 
 
 def split_table(hist: DataFrame, knots: int, penalty: float, min_rows: int, leaf_aware: bool) -> DataFrame:

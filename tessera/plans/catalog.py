@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +30,17 @@ TRAIN_SHARE = 0.75
 _frames: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
 
 
+def _there(spark: SparkSession, rows: DataFrame) -> bool:
+    """Whether the files of a written table still are."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    paths = [hadoop.Path(f) for f in rows.inputFiles()]
+    return all(p.getFileSystem(conf).exists(p) for p in paths[:1])
+
+
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rows of lineitem as a modelling table, and its split; written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _frames:
+    if key not in _frames or not _there(spark, _frames[key][0]):
         items = with_row_numbers(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), *ORDER)
         raw = items.select(
             RID, F.col("l_quantity").alias("qty"), F.when(F.col("l_orderkey") % 31 != 0, F.col("l_extendedprice")).alias("price"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"),
@@ -83,18 +91,11 @@ def quantile_knots_numeric(spark, sf_dir):
     return _knot_rows(spark, E.quantile_knots(_training(spark, sf_dir), {n: F.col(n) for n in SCHEMA.of(Kind.NUMERIC)}, 16))
 
 
-def _full(spark, sf_dir) -> tuple[DataFrame, float]:
+def quantile_knots_highcard(spark, sf_dir):
     rows = _training(spark, sf_dir)
-    prior = E.weighted_rate(rows)
-    out = rows
+    prior, found = E.weighted_rate(rows), {}
     for code in SCHEMA.of(Kind.HIGH_CARD):
-        out = E.full_encoding(out, E.target_encoding(rows, code, 20.0, prior), code, prior, f"{code}_enc", f"{code}_cnt")
-    return out, prior
-
-
-def quantile_knots_highcard(spark, sf_dir):
-    rows, _ = _full(spark, sf_dir)
-    found = E.quantile_knots(rows, {f"{c}_{v}": F.col(f"{c}_{v}") for c in SCHEMA.of(Kind.HIGH_CARD) for v in ("enc", "cnt")}, 16)
+        found |= E.encoding_knots(rows, E.target_encoding(rows, code, 20.0, prior), code, prior, 16, f"{code}_enc", f"{code}_cnt")
     return _knot_rows(spark, found).withColumn("knot", F.round("knot", 8))
 
 
@@ -163,16 +164,9 @@ def basis_layout(spark, sf_dir):
 
 
 def basis_expand_row(spark, sf_dir):
-    found = _encoders(spark, sf_dir, Schema(["price", "flagstat"], [Kind.NUMERIC, Kind.BOUNDED]))
-    rows = _valid(spark, sf_dir)
-    first = rows.agg(F.min(RID)).first()[0] or 0
-    return found.transform(row_slice(rows, first, first + 300)).select(RID, F.inline(found.expand())).withColumn("val", F.round("val", 8))
-
-
-def basis_expand_rows(spark, sf_dir):
-    """The basis of all validation rows over all features; basis_expand_row is the part that its SQL has."""
+    """The basis of all validation rows over all features."""
     found = _encoders(spark, sf_dir)
-    return found.transform(_valid(spark, sf_dir)).select(RID, F.inline(found.expand())).withColumn("val", F.round("val", 8))
+    return found.expanded(found.transform(_valid(spark, sf_dir))).withColumn("val", F.round("val", 6))
 
 
 # --------------------------------------------------------------- gradients and splits
@@ -268,13 +262,16 @@ _models: dict[tuple, Model] = {}
 
 def _model(spark, sf_dir) -> Model:
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _models:
+    if key not in _models or not all(_there(spark, t) for t in _models[key].encoders.tables.values()):
         _models[key] = train(_training(spark, sf_dir), SCHEMA, Config())
     return _models[key]
 
 
 def tree_nodes(spark, sf_dir):
-    model = _model(spark, sf_dir)
+    return _node_rows(spark, _model(spark, sf_dir))
+
+
+def _node_rows(spark, model: Model) -> DataFrame:
     rows = []
     for i, n in enumerate(model.tree.nodes):
         s = n.split
@@ -283,7 +280,10 @@ def tree_nodes(spark, sf_dir):
 
 
 def tree_leaf_counts(spark, sf_dir):
-    scored = _model(spark, sf_dir).transform(_training(spark, sf_dir))
+    return _leaf_counts(_model(spark, sf_dir).transform(_training(spark, sf_dir)))
+
+
+def _leaf_counts(scored: DataFrame) -> DataFrame:
     return scored.groupBy("leaf_id").agg(F.count(F.lit(1)).alias("n"), F.sum(LABEL).alias("pos"))
 
 
@@ -296,11 +296,13 @@ def unseen_row_predict(spark, sf_dir):
     return _model(spark, sf_dir).transform(odd).select(RID, "leaf_id", F.round("score", 6).alias("score"))
 
 
-def _predict(shared):
+def _predict(model: Model, names: list[str]):
     def run(batches):
-        local = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([local.predict(r) for r in batch.to_pylist()], pa.float64()), batch.column("score")], names=["local", "score"])
+            rows = batch.to_pylist()
+            codes = {name: {r[name]: tuple(r[f"{name}__known"].values()) for r in rows if r[f"{name}__known"]} for name in names}
+            local = LocalScorer(model, codes)
+            yield pa.RecordBatch.from_arrays([pa.array([local.predict(r) for r in rows], pa.float64()), batch.column("score")], names=["local", "score"])
 
     return run
 
@@ -309,12 +311,53 @@ def scorer_paths_agree(spark, sf_dir):
     """Whether the local scorer and transform agree on all validation rows; tasks run the local scorer."""
     model, rows = _model(spark, sf_dir), _valid(spark, sf_dir)
     slim = Model(E.Encoders(model.schema, list(model.encoders), {}), model.tree, model.leaves, model.s0)
-    shared = spark.sparkContext.broadcast(LocalScorer(slim, model.local_codes()))
-    both = model.transform(rows).select(*SCHEMA.names, "score").mapInArrow(_predict(shared), "local double, score double")
+    names = list(model.encoders.tables)
+    known = model.with_codes(model.transform(rows)).select(*SCHEMA.names, *(f"{name}__known" for name in names), "score")
+    both = known.mapInArrow(_predict(slim, names), "local double, score double")
     gap, inside = F.max(F.abs(F.col("local") - F.col("score"))), F.bool_and((F.col("local") > 0) & (F.col("local") < 1))
     return both.agg(F.count(F.lit(1)).cast("int").alias("n"), (F.coalesce(gap, F.lit(0.0)) < 1e-5).alias("agree"), F.coalesce(inside, F.lit(True)).alias("in_range"))
 
 
+GROWN = Schema(["qty", "price", "flagstat"], [Kind.NUMERIC, Kind.NUMERIC, Kind.BOUNDED])
+
+
+def best_split_features(spark, sf_dir):
+    """The root's best split over several features, from one histogram."""
+    rows = _training(spark, sf_dir)
+    found = _encoders(spark, sf_dir, GROWN)
+    binned = T.with_bins(G.with_gradients(found.transform(rows), G.base_score(rows)[1]), found)
+    hist: dict = {}
+    for r in T.histogram(binned, F.lit(0)).collect():  # features x bins
+        hist.setdefault(r.feature, {})[r.bin] = np.array([r.g, r.h, r.gz, r.hz, r.hzz, r.n], float)
+    best = T.best_split(hist, found, Config())
+    row = (found[best.feature].name, best.threshold, ",".join(map(str, best.left_set)) or None, best.default_left, round(best.gain, 2))
+    return spark.createDataFrame([row], "feature string, threshold double, left_set string, default_left boolean, gain double")
+
+
+def _grown(spark, sf_dir) -> Model:
+    return train(_training(spark, sf_dir), GROWN, Config(num_leaves=4, linear_leaves=False))
+
+
+def grown_nodes(spark, sf_dir):
+    """The nodes of a tree of four leaves."""
+    return _node_rows(spark, _grown(spark, sf_dir))
+
+
+def grown_leaf_counts(spark, sf_dir):
+    return _leaf_counts(_grown(spark, sf_dir).transform(_training(spark, sf_dir)))
+
+
+def grown_predict(spark, sf_dir):
+    """Validation rows by the constant leaves of a tree of four leaves."""
+    return _grown(spark, sf_dir).transform(_valid(spark, sf_dir)).select(RID, "leaf_id", F.round("score", 8).alias("score"))
+
+
+def linear_leaf_predict_two_knots(spark, sf_dir):
+    """Validation rows by the linear leaves of a tree of two leaves over one feature."""
+    model = train(_training(spark, sf_dir), Schema(["qty"], [Kind.NUMERIC]), Config(num_leaves=2, knots=2))
+    return model.transform(_valid(spark, sf_dir)).select(RID, "leaf_id", F.round("score", 6).alias("score"))
+
+
 # --------------------------------------------------------------- metrics
 
 
@@ -378,9 +421,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     temporal_split_counts, class_weights_, row_slice_, quantile_knots_numeric, quantile_knots_highcard, weighted_rate, base_score, grad_hess, target_encoding, target_encoding_oof,
-    target_encoding_unique_ids, target_encode_unseen, vocab_first_seen, bounded_codes_valid, numeric_basis, onehot_basis, basis_layout, basis_expand_row, basis_expand_rows, hist_numeric, split_numeric_const,
+    target_encoding_unique_ids, target_encode_unseen, vocab_first_seen, bounded_codes_valid, numeric_basis, onehot_basis, basis_layout, basis_expand_row, hist_numeric, split_numeric_const,
     split_numeric_leafaware, split_categorical, parent_scores, best_split_root, stump_partition, stump_predict_constant_leaf, tree_leaf_counts, tree_nodes, irls_one_feature, linear_leaf_predict,
-    unseen_row_predict, scorer_paths_agree, log_loss, roc_auc, pr_auc, lift_at_1pct, lift_at_10pct, reliability_bins, metrics_bundle, synthetic_profile, ablation_leaf_kind, sweep_k_gain,
+    unseen_row_predict, scorer_paths_agree, best_split_features, grown_nodes, grown_leaf_counts, grown_predict, linear_leaf_predict_two_knots, log_loss, roc_auc, pr_auc, lift_at_1pct, lift_at_10pct, reliability_bins, metrics_bundle, synthetic_profile, ablation_leaf_kind, sweep_k_gain,
 )
 
 

@@ -66,6 +66,33 @@ hat AS (
 )"""
 
 
+def _basis() -> str:
+    """The basis of validation rows over all features, each at its first slot."""
+    parts, selects, at = [], [], "0"
+    for c in _NUMERIC:
+        parts += [_knots(f"k_{c}", "train", c), _named_hat(c, "valid", c, f"k_{c}")]
+        selects.append(f"SELECT rid, ({at} + idx)::int AS idx, round(val, 6) AS val FROM hat_{c}")
+        at += f" + (SELECT count(*) FROM k_{c}) + 1"
+    for c in ("flagstat", "ok3"):
+        parts.append(f"voc_{c} AS (SELECT {c} AS code, row_number() OVER (ORDER BY min(rid)) - 1 AS id, count(*) OVER () AS k FROM train WHERE {c} IS NOT NULL GROUP BY {c})")
+        selects.append(f"SELECT rid, ({at} + CASE WHEN {c} IS NULL THEN k.k ELSE coalesce(id, k.k + 1) END)::int, 1.0 FROM valid LEFT JOIN voc_{c} ON {c} = code, (SELECT count(*) AS k FROM voc_{c}) k")
+        at += f" + (SELECT count(*) FROM voc_{c}) + 2"
+    for c in ("part", "supp"):
+        parts += [_encoding(c), f"coded_{c} AS (SELECT rid, coalesce(enc, prior) AS enc, ln(1 + coalesce(cnt, 0)) AS cnt FROM valid LEFT JOIN enc_{c} ON valid.{c} = enc_{c}.code, base)"]
+        for v in ("enc", "cnt"):
+            parts += [_knots(f"k_{c}_{v}", f"full_{c}", v), _named_hat(f"{c}_{v}", f"coded_{c}", v, f"k_{c}_{v}")]
+            selects.append(f"SELECT rid, ({at} + idx)::int, round(val, 6) FROM hat_{c}_{v}")
+            at += f" + (SELECT count(*) FROM k_{c}_{v}) + 1"
+    return _sql(" UNION ALL ".join(selects), *parts)
+
+
+def _named_hat(name: str, rows: str, x: str, knots: str) -> str:
+    return _hat(rows, x, knots).replace("span", f"span_{name}").replace("steps", f"steps_{name}").replace("hat AS", f"hat_{name} AS")
+
+
+BASIS = _basis()
+
+
 def _hist(column: str) -> str:
     return _knots("k", "train", column) + f""",
 ends AS (SELECT min(knot) AS lo, max(knot) AS hi, list(knot ORDER BY i) AS ks FROM k),
@@ -124,26 +151,107 @@ def _lift(share: float) -> str:
       least(greatest(round(count(*) OVER () * {share}), 1), count(*) OVER ()) AS k FROM scored))"""
 
 
-def _irls(steps: int = 8) -> str:
-    """Newton steps for an intercept and the two hats of qty, each a 3 x 3 system."""
-    parts = [
-        _knots("k", "train", "qty", 2),
-        "x AS MATERIALIZED (SELECT label AS y, 1 - (qty - lo) / (hi - lo) AS u, (qty - lo) / (hi - lo) AS v FROM train, (SELECT min(knot) AS lo, max(knot) AS hi FROM k))",
-        "w0 AS (SELECT 0.0::double AS b, 0.0::double AS wu, 0.0::double AS wv, ln(p0 / (1 - p0)) AS s0 FROM base)",
-    ]
+def _steps(steps: int = 8) -> list[str]:
+    """Newton steps for an intercept and two hats, a 3 x 3 system per leaf.
+
+    They start at w0 (leaf, b, wu, wv, s0) and read x (leaf, y, u, v).
+    """
+    parts = []
     for i in range(steps):
         parts.append(
-            f"""s{i} AS MATERIALIZED (SELECT sum(h) AS a, sum(h * u) AS d, sum(h * v) AS e, sum(h * u * u) + 1 AS f, sum(h * u * v) AS k, sum(h * v * v) + 1 AS m,
+            f"""s{i} AS MATERIALIZED (SELECT leaf, sum(h) AS a, sum(h * u) AS d, sum(h * v) AS e, sum(h * u * u) + 1 AS f, sum(h * u * v) AS k, sum(h * v * v) + 1 AS m,
             sum(g) AS q, sum(g * u) + any_value(wu) AS r, sum(g * v) + any_value(wv) AS t, any_value(b) AS b, any_value(wu) AS wu, any_value(wv) AS wv, any_value(s0) AS s0
-            FROM (SELECT u, v, p - y AS g, p * (1 - p) AS h, b, wu, wv, s0 FROM (SELECT *, 1 / (1 + exp(-(s0 + b + wu * u + wv * v))) AS p FROM x, w{i})))"""
+            FROM (SELECT leaf, u, v, p - y AS g, p * (1 - p) AS h, b, wu, wv, s0 FROM (SELECT x.leaf, y, u, v, b, wu, wv, s0, 1 / (1 + exp(-(s0 + b + wu * u + wv * v))) AS p FROM x JOIN w{i} w ON x.leaf = w.leaf)) GROUP BY leaf)"""
         )
         det = "(a * (f * m - k * k) - d * (d * m - k * e) + e * (d * k - f * e))"
         parts.append(
-            f"""w{i + 1} AS MATERIALIZED (SELECT b - (q * (f * m - k * k) - d * (r * m - k * t) + e * (r * k - f * t)) / {det} AS b,
+            f"""w{i + 1} AS MATERIALIZED (SELECT leaf, b - (q * (f * m - k * k) - d * (r * m - k * t) + e * (r * k - f * t)) / {det} AS b,
             wu - (a * (r * m - k * t) - q * (d * m - k * e) + e * (d * t - r * e)) / {det} AS wu,
             wv - (a * (f * t - r * k) - d * (d * t - r * e) + q * (d * k - f * e)) / {det} AS wv, s0 FROM s{i})"""
         )
-    return _sql(f"SELECT round(b, 6) AS bias, round(wu, 6) AS w_low, round(wv, 6) AS w_high FROM w{steps}", *parts)
+    return parts
+
+
+_HATS_OF_QTY = "1 - (qty - lo) / (hi - lo) AS u, (qty - lo) / (hi - lo) AS v"
+_ENDS_OF_QTY = "(SELECT min(knot) AS lo, max(knot) AS hi FROM k)"
+
+IRLS = _sql(
+    "SELECT round(b, 6) AS bias, round(wu, 6) AS w_low, round(wv, 6) AS w_high FROM w8",
+    _knots("k", "train", "qty", 2),
+    f"x AS MATERIALIZED (SELECT 0 AS leaf, label AS y, {_HATS_OF_QTY} FROM train, {_ENDS_OF_QTY})",
+    "w0 AS (SELECT 0 AS leaf, 0.0::double AS b, 0.0::double AS wu, 0.0::double AS wv, ln(p0 / (1 - p0)) AS s0 FROM base)",
+    *_steps(),
+)
+
+
+def _split_side(place: str, best: str) -> str:
+    """Whether a row goes left: bins up to t are left of threshold t."""
+    return f"CASE {best}.f WHEN 2 THEN list_contains({best}.ids, {place}.b2) WHEN 1 THEN CASE WHEN {place}.b1 = -1 THEN {best}.dl ELSE {place}.b1 <= {best}.t END ELSE {place}.b0 <= {best}.t END"
+
+
+def _best_splits(i: int) -> str:
+    """best{i}: the best split of each node of rows{i}, over qty (0), price (1) and flagstat (2).
+
+    Of equal gains (as 32-bit numbers) the first feature, then the first
+    threshold wins, with missing rows left before right.
+    """
+    return f"""
+h{i} AS MATERIALIZED (SELECT node, f, CASE f WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END AS bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM rows{i}, range(3) r(f) GROUP BY ALL),
+full{i} AS (SELECT a.node, a.f, a.bin, coalesce(h.g, 0) AS g, coalesce(h.h, 0) AS h, coalesce(h.n, 0) AS n
+  FROM (SELECT nodes.node, sizes.f, r.b AS bin, sizes.k FROM (SELECT DISTINCT node FROM h{i}) nodes, sizes, range(64) r(b) WHERE r.b <= sizes.k) a
+  LEFT JOIN h{i} h ON h.node = a.node AND h.f = a.f AND h.bin = a.bin),
+gone{i} AS (SELECT node, f, g AS m_g, h AS m_h, n AS m_n FROM h{i} WHERE bin = -1 AND f < 2),
+run{i} AS (SELECT full{i}.node, full{i}.f, bin AS t, coalesce(m_g, 0) AS m_g, coalesce(m_h, 0) AS m_h, coalesce(m_n, 0) AS m_n,
+  sum(g) OVER w AS a_g, sum(h) OVER w AS a_h, sum(n) OVER w AS a_n, sum(g) OVER v AS t_g, sum(h) OVER v AS t_h, sum(n) OVER v AS t_n
+  FROM full{i} LEFT JOIN gone{i} ON gone{i}.node = full{i}.node AND gone{i}.f = full{i}.f
+  WINDOW w AS (PARTITION BY full{i}.node, full{i}.f ORDER BY bin ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY full{i}.node, full{i}.f)),
+sides{i} AS (SELECT node, run{i}.f, t, dl, a_g + m_g * dl::int AS l_g, a_h + m_h * dl::int AS l_h, a_n + m_n * dl::int AS l_n, t_g + m_g AS p_g, t_h + m_h AS p_h, t_n + m_n AS p_n
+  FROM run{i} JOIN sizes ON sizes.f = run{i}.f, (VALUES (true), (false)) d(dl) WHERE t < sizes.k),
+ord{i} AS (SELECT node, bin, g, h, n, row_number() OVER (PARTITION BY node ORDER BY g / greatest(h, 1), bin) AS size FROM h{i} WHERE f = 2),
+prefix{i} AS (SELECT node, size, list(bin) OVER w AS ids, sum(g) OVER w AS l_g, sum(h) OVER w AS l_h, sum(n) OVER w AS l_n, sum(g) OVER v AS p_g, sum(h) OVER v AS p_h, sum(n) OVER v AS p_n, count(*) OVER v AS k
+  FROM ord{i} WINDOW w AS (PARTITION BY node ORDER BY size ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY node)),
+all{i} AS (
+  SELECT node, f, t, dl, CAST(NULL AS BIGINT[]) AS ids, l_g, l_h, l_n, p_g, p_h, p_n FROM sides{i}
+  UNION ALL SELECT node, 2, size - 1, true, ids, l_g, l_h, l_n, p_g, p_h, p_n FROM prefix{i} WHERE size < k),
+gains{i} AS (SELECT node, f, t, dl, ids, (l_g * l_g / (l_h + 1) + (p_g - l_g) * (p_g - l_g) / (p_h - l_h + 1) - p_g * p_g / (p_h + 1))::float AS gain FROM all{i} WHERE l_n >= 50 AND p_n - l_n >= 50),
+best{i} AS MATERIALIZED (SELECT node, f, t, dl, ids, gain FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, t, dl DESC) AS place FROM gains{i} WHERE gain > 0) WHERE place = 1)"""
+
+
+_GROWN = [
+    _knots("k_qty", "train", "qty"),
+    _knots("k_price", "train", "price"),
+    """
+codes AS (SELECT flagstat AS code, row_number() OVER (ORDER BY min(rid)) - 1 AS id FROM train GROUP BY flagstat),
+sizes AS (SELECT 0 AS f, (SELECT count(*) FROM k_qty) AS k UNION ALL SELECT 1, (SELECT count(*) FROM k_price)),
+lists AS (SELECT (SELECT list(knot ORDER BY i) FROM k_qty) AS q, (SELECT list(knot ORDER BY i) FROM k_price) AS p),
+binned AS MATERIALIZED (SELECT frame.*, len(list_filter(q, lambda x: x <= qty)) AS b0, CASE WHEN price IS NULL THEN -1 ELSE len(list_filter(p, lambda x: x <= price)) END AS b1, id AS b2 FROM frame JOIN codes ON flagstat = code, lists),
+rows1 AS MATERIALIZED (SELECT b.rid, 0 AS node, b0, b1, b2, p0 - b.label AS g, p0 * (1 - p0) AS h FROM binned b, base, size WHERE b.rid < round(size.n * 0.75))""",
+    _best_splits(1),
+    f"""
+rows2 AS MATERIALIZED (SELECT r.rid, CASE WHEN {_split_side('r', 'best1')} THEN 1 ELSE 2 END AS node, b0, b1, b2, g, h FROM rows1 r, best1)""",
+    _best_splits(2),
+    f"""
+pick2 AS MATERIALIZED (SELECT * FROM best2 ORDER BY gain DESC, node DESC LIMIT 1),
+rows3 AS MATERIALIZED (SELECT r.rid, CASE WHEN r.node <> pick2.node THEN r.node WHEN {_split_side('r', 'pick2')} THEN 3 ELSE 4 END AS node, b0, b1, b2, g, h FROM rows2 r, pick2)""",
+    _best_splits(3),
+    """
+pick3 AS MATERIALIZED (SELECT * FROM best3 ORDER BY gain DESC, node DESC LIMIT 1),
+leaf_ids AS (SELECT x AS node, CASE WHEN x > 4 THEN x - 3 WHEN pick3.node = 3 THEN CASE x WHEN 4 THEN 1 ELSE 0 END WHEN pick3.node = 4 THEN CASE x WHEN 3 THEN 1 ELSE 0 END ELSE 4 - x END AS leaf_id
+  FROM (SELECT 3 - pick2.node AS x FROM pick2 UNION ALL SELECT * FROM (VALUES (3), (4), (5), (6)) v(x)) n, pick3 WHERE x <> pick3.node)""",
+    f"""
+routed AS (SELECT b.*, CASE WHEN {_split_side('b', 'best1')} THEN 1 ELSE 2 END AS n2 FROM binned b, best1),
+routed3 AS (SELECT b.*, CASE WHEN n2 <> pick2.node THEN n2 WHEN {_split_side('b', 'pick2')} THEN 3 ELSE 4 END AS n3 FROM routed b, pick2),
+placed AS MATERIALIZED (SELECT b.*, leaf_id FROM (SELECT b.*, CASE WHEN n3 <> pick3.node THEN n3 WHEN {_split_side('b', 'pick3')} THEN 5 ELSE 6 END AS n4 FROM routed3 b, pick3) b JOIN leaf_ids ON leaf_ids.node = n4)""",
+]
+_SPLIT_COLUMNS = "CASE f WHEN 0 THEN 'qty' WHEN 1 THEN 'price' ELSE 'flagstat' END AS feature, CASE f WHEN 0 THEN (SELECT knot FROM k_qty WHERE i = t) WHEN 1 THEN (SELECT knot FROM k_price WHERE i = t) END AS threshold, array_to_string(ids, ',') AS left_set, dl AS default_left"
+
+_TWO_LEAVES = [
+    _candidates("qty", False).replace("range(16)", "range(2)").replace("/ 15.0::double", "/ 1.0::double"),
+    "cut AS (SELECT knot AS thr FROM candidates JOIN k ON k.i = candidates.t WHERE gain > 0 ORDER BY gain::float DESC, t, default_left DESC LIMIT 1)",
+    f"x AS MATERIALIZED (SELECT CASE WHEN qty < thr THEN 0 ELSE 1 END AS leaf, label AS y, {_HATS_OF_QTY} FROM train, cut, {_ENDS_OF_QTY})",
+    "w0 AS (SELECT leaf, ln(p / (1 - p)) - ln(p0 / (1 - p0)) AS b, 0.0::double AS wu, 0.0::double AS wv, ln(p0 / (1 - p0)) AS s0 FROM (SELECT leaf, least(greatest(avg(y::double), 1e-6), 1 - 1e-6) AS p FROM x GROUP BY leaf), base)",
+    *_steps(),
+]
 
 
 _STUMP = "best AS (SELECT 'qty' AS f, knot AS thr FROM candidates JOIN k ON k.i = candidates.t ORDER BY round(gain, 4) DESC, t, default_left DESC LIMIT 1)"
@@ -188,10 +296,7 @@ def oracle_sql() -> dict[str, str]:
             *(_knots(f"k_{c}", "train", c) for c in _NUMERIC), _encoding("part"), _encoding("supp"),
             *(_knots(f"k_{c}_{v}", f"full_{c}", v) for c in ("part", "supp") for v in ("enc", "cnt")),
         ),
-        "basis_expand_row": _sql(
-            "SELECT rid, idx::int AS idx, round(val, 8) AS val FROM hat WHERE rid < (SELECT min(rid) + 300 FROM valid) UNION ALL SELECT rid, ((SELECT count(*) FROM k) + 1 + coalesce(id, n + 1))::int, 1.0 FROM valid LEFT JOIN voc ON flagstat = code, (SELECT count(*) AS n FROM voc) WHERE rid < (SELECT min(rid) + 300 FROM valid)",
-            _knots("k", "train", "price"), _hat("valid", "price", "k"), "voc AS (SELECT flagstat AS code, row_number() OVER (ORDER BY min(rid)) - 1 AS id FROM train GROUP BY flagstat)",
-        ),
+        "basis_expand_row": BASIS,
         "hist_numeric": _sql("SELECT bin::int AS bin, round(g, 4) AS g, round(h, 4) AS h, round(gz, 4) AS gz, round(hz, 4) AS hz, round(hzz, 4) AS hzz, n FROM hist", _hist("price")),
         "split_numeric_const": _sql("SELECT t::int AS t, default_left, n_left::bigint AS n_left, n_right::bigint AS n_right, round(gain, 4) AS gain FROM candidates", _candidates("price", False)),
         "split_numeric_leafaware": _sql("SELECT t::int AS t, default_left, n_left::bigint AS n_left, n_right::bigint AS n_right, round(gain, 4) AS gain FROM candidates", _candidates("price", True)),
@@ -206,7 +311,25 @@ def oracle_sql() -> dict[str, str]:
             "SELECT valid.rid, round(p, 8) AS score FROM valid JOIN best ON true JOIN rates ON rates.l = (valid.qty < best.thr)", _candidates("qty", False), _STUMP,
             "rates AS (SELECT qty < thr AS l, least(greatest(avg(label::double), 1e-6), 1 - 1e-6) AS p FROM train, best GROUP BY 1)",
         ),
-        "irls_one_feature": _irls(),
+        "irls_one_feature": IRLS,
+        "best_split_features": _sql(f"SELECT {_SPLIT_COLUMNS}, round(gain::double, 2) AS gain FROM best1", *_GROWN),
+        "grown_nodes": _sql(
+            f"""SELECT node::int AS node, {_SPLIT_COLUMNS}, (2 * step - 1)::int AS left_child, (2 * step)::int AS right_child, -1::int AS leaf_id
+            FROM (SELECT 1 AS step, node, f, t, dl, ids FROM best1 UNION ALL SELECT 2, node, f, t, dl, ids FROM pick2 UNION ALL SELECT 3, node, f, t, dl, ids FROM pick3)
+            UNION ALL SELECT node::int, NULL, NULL, NULL, NULL, -1::int, -1::int, leaf_id::int FROM leaf_ids""",
+            *_GROWN,
+        ),
+        "grown_leaf_counts": _sql("SELECT leaf_id::int AS leaf_id, count(*) AS n, sum(label)::bigint AS pos FROM placed, size WHERE rid < round(n * 0.75) GROUP BY leaf_id", *_GROWN),
+        "grown_predict": _sql(
+            """SELECT rid, placed.leaf_id::int AS leaf_id, round(p, 8) AS score FROM placed JOIN rates ON rates.leaf_id = placed.leaf_id, size WHERE rid >= round(n * 0.75)""",
+            *_GROWN, "rates AS (SELECT leaf_id, least(greatest(avg(label::double), 1e-6), 1 - 1e-6) AS p FROM placed, size WHERE rid < round(n * 0.75) GROUP BY leaf_id)",
+        ),
+        "linear_leaf_predict_two_knots": _sql(
+            """SELECT rid, leaf::int AS leaf_id, round(1 / (1 + exp(-(s0 + b + wu * u + wv * v))), 6) AS score
+            FROM (SELECT rid, CASE WHEN qty < thr THEN 0 ELSE 1 END AS own, least(greatest((qty - lo) / (hi - lo), 0), 1) AS v, 1 - least(greatest((qty - lo) / (hi - lo), 0), 1) AS u FROM valid, cut, (SELECT min(knot) AS lo, max(knot) AS hi FROM k))
+            JOIN w8 ON leaf = own""",
+            *_TWO_LEAVES,
+        ),
         "log_loss": _sql(f"SELECT round({_LOSS}, 8) AS log_loss", _SCORED),
         "roc_auc": _sql(f"SELECT round({_ROC}, 8) AS roc_auc", _SCORED, _GROUPS),
         "pr_auc": _sql(f"SELECT round({_AP}, 8) AS pr_auc", _SCORED, _GROUPS),

@@ -29,14 +29,14 @@ def test_all_rows_are_expanded_over_all_features(spark):
                 place = len(e.codes) if r[e.name] is None else e.codes.index(r[e.name]) if r[e.name] in e.codes else len(e.codes) + 1
                 parts = [(e.offset + place, 1.0)]
             elif e.kind is Kind.NUMERIC:
-                parts = hat(e.knots, e.offset, r[e.name])
+                parts = hat(r[e.name], e.knots, e.offset)
             else:
                 y, n = sums[e.name].get(r[e.name], (0, 0))
-                parts = hat(e.knots, e.offset, (y + 20.0 * prior) / (n + 20.0)) + hat(e.count_knots, e.offset + len(e.knots) + 1, math.log1p(n))
+                parts = hat((y + 20.0 * prior) / (n + 20.0), e.knots, e.offset) + hat(math.log1p(n), e.count_knots, e.offset + len(e.knots) + 1)
             for slot, value in parts:
                 expected[r.rid][slot] += value
     got = defaultdict(lambda: defaultdict(float))
-    for r in catalog.queries()["basis_expand_rows"](spark, DATA).collect():
+    for r in catalog.queries()["basis_expand_row"](spark, DATA).collect():
         got[r.rid][r.idx] += r.val
     assert len(valid) > 300 and got.keys() == expected.keys()
     for rid, slots in expected.items():
