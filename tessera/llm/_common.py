@@ -6,17 +6,17 @@ Text is handled as UTF-8 bytes in numpy. Every byte of a non-ASCII character is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.staging import Stage, shuffle_partitions
 
-__all__ = ["CHUNK", "SPACES", "Rolling", "Stage", "chunks", "documents", "fresh", "grams", "mix", "separators", "shuffle_partitions", "small_batches", "sliding", "span_hashes", "utf8", "winnow", "word_hashes"]
+__all__ = ["CHUNK", "maybe_among", "split_by", "without", "SPACES", "Rolling", "Stage", "chunks", "documents", "fresh", "grams", "mix", "separators", "shuffle_partitions", "small_batches", "sliding", "span_hashes", "utf8", "winnow", "word_hashes"]
 
 #: Bytes of text that numpy works on at a time.
 CHUNK = 1 << 18
@@ -65,6 +65,62 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+#: Bits of a filter of ids: at least and at most (64 MB).
+MIN_FILTER_BITS, MAX_FILTER_BITS = 16, 29
+FILTER_HASHES, BITS_PER_ID = 2, 16
+#: Bits of one bitmap of Spark's.
+BITMAP_BITS = 8 * 4096
+
+
+def filter_places(key: Column, log_bits: int) -> list[Column]:
+    return [F.shiftrightunsigned(F.xxhash64(key, F.lit(k)), 64 - log_bits) for k in range(FILTER_HASHES)]
+
+
+def maybe_among(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test of values against the single column of ``keys`` (a written table).
+
+    It is true for each of them and for few others, null being a value like any.
+    The filter has BITS_PER_ID bits per key and at most 2 ** MAX_FILTER_BITS;
+    past that it is true for more, so users of it must confirm.
+    """
+    n = keys.count()
+    log_bits = min(max((BITS_PER_ID * n).bit_length(), MIN_FILTER_BITS), MAX_FILTER_BITS)
+    places = keys.select(F.explode(F.array(*filter_places(F.col(keys.columns[0]), log_bits))).alias("place"))
+    maps = places.groupBy(F.expr(f"place div {BITMAP_BITS}").alias("map")).agg(F.bitmap_construct_agg(F.col("place") % BITMAP_BITS).alias("bits"))
+    bits = np.zeros(1 << (log_bits - 3), np.uint8)
+    for k, own in maps.collect():  # at most 2 ** MAX_FILTER_BITS bits in all
+        bits[k * BITMAP_BITS // 8 : (k + 1) * BITMAP_BITS // 8] = np.frombuffer(own, np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def test(first: pa.Array, second: pa.Array) -> pa.Array:
+        yes = np.ones(len(first), bool)
+        for place in (first, second):
+            at = place.to_numpy(zero_copy_only=False)
+            yes &= shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+        return pa.array(yes)
+
+    return lambda key: test(*filter_places(key, log_bits))
+
+
+def split_by(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df that may have one of the keys, and those that surely have none.
+
+    Only the first need meet ``keys``: the others are never shuffled.
+    """
+    test = maybe_among(keys)(key)
+    return df.filter(test), df.filter(~test)
+
+
+def without(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key is none of ``keys``, a written table of one column."""
+    some, none = split_by(df, key, keys)
+    (name,) = fresh(df, "key")
+    # keys grow with the corpus, so none are broadcast; hashing a part's keys spares the texts a sort
+    left = some.join(keys.toDF(name).hint("shuffle_hash"), key.eqNullSafe(F.col(name)), "left_anti")
+    return none.union(left)
+
+
 # --------------------------------------------------------------- Arrow text
 
 

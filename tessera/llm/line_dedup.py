@@ -9,7 +9,8 @@ of hashes seen twice; the filters of all tasks merge by segment. A bit that two
 keys or two tasks set is a "twice" bit, so no repeated key is missed. The
 second scan shuffles only the hashes that the second filter suspects; there
 128-bit hashes are counted exactly and the document that keeps the line is
-chosen. The filter has one bit per ``BYTES_PER_BIT`` bytes of text and at most
+chosen. Documents that lose lines are joined with these; a filter of their ids
+lets all others pass without a shuffle. The filter has one bit per ``BYTES_PER_BIT`` bytes of text and at most
 2 ** MAX_BITS (64 MB), which bounds what is broadcast; past that more
 suspects are shuffled and the result is the same.
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import SPACES, Stage, fresh, mix, shuffle_partitions, small_batches
+from tessera.llm._common import SPACES, Stage, fresh, mix, shuffle_partitions, small_batches, split_by
 
 MIN_CHARS, MIN_DOCS = 40, 5
 HASHES = 4
@@ -187,11 +188,17 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     gone, owner = fresh(rows, "drops", "owner")
     drops = stage.put(drops.select(F.col("doc_id").alias(owner), F.col("keys").alias(gone)), "drops")
+    stage.drop("suspects")
+    key = F.col("doc_id").cast("long")
+    some, whole = split_by(rows, key, drops.select(owner))
     # a sort-merge join at every size: the lists grow with the corpus, so none is broadcast
-    joined = rows.join(drops.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(owner)), "left").drop(owner)
+    joined = some.join(drops.hint("merge"), key.eqNullSafe(F.col(owner)), "left").drop(owner)
     names = [*rows.columns, "n_lines", "n_dropped"]
     schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema) + ", n_lines long, n_dropped long"
-    return joined.mapInArrow(_drop(names, "text", gone, min_chars), schema)
+    text = F.col("text").cast("string")
+    n_lines = F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(1)).cast("long")
+    whole = whole.withColumn("text", text).select(*(f"`{c}`" for c in rows.columns), n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    return whole.union(joined.mapInArrow(_drop(names, "text", gone, min_chars), schema))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
