@@ -25,7 +25,8 @@ context, 68 bytes to either side.
    lengths gives the interval tree. For each interval the left extensions are
    told apart; where they differ, the members that share enough to the left are
    a maximal repeat, put out with all occurrences. All but the first are cut.
-5. Cuts are united per document and joined to the texts.
+5. Cuts are united per document and joined to the texts they fall in; a filter
+   lets all other texts pass without a shuffle.
 
 Defined cases: a null text is empty. A null doc_id comes before any other. Rows
 that share a doc_id are documents of their own, in the order of a hash of their
@@ -45,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import CHUNK, Rolling, Stage, mix, shuffle_partitions, sliding, small_batches, utf8
+from tessera.llm._common import CHUNK, Rolling, Stage, mix, shuffle_partitions, sliding, small_batches, split_by, utf8
 
 LENGTH = 100
 GRAM = 32
@@ -183,8 +184,9 @@ def _split_first(entries: np.ndarray, shape: Shape) -> tuple[np.ndarray, Iterato
 
 def _passed(cuts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for c in cuts:
-        # dealt out by the twin number, so that cuts spread over all tasks
-        columns = [c.column("twin"), c.column("rank"), c.column("twin"), pa.nulls(c.num_rows, pa.binary()), c.column("lo"), c.column("hi")]
+        # dealt out by document, so that cuts spread over all tasks
+        place = _where(c.column("rank").to_numpy(), c.column("twin").to_numpy(), np.zeros(c.num_rows, np.int64))
+        columns = [pa.array((place >> np.uint64(33)).astype(np.int32)), c.column("rank"), c.column("twin"), pa.nulls(c.num_rows, pa.binary()), c.column("lo"), c.column("hi")]
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "rank", "twin", "packed", "lo", "hi"])
 
 
@@ -523,10 +525,15 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = stage.put(contexts.repartition(buckets, "bucket").mapInArrow(_repeat_cuts(length), CUTS), "repeats")
 
     cuts = kinds.filter("lo is not null").select("rank", "twin", "lo", "hi").unionByName(found)
-    cuts = cuts.groupBy("rank", "twin").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+    cuts = stage.put(cuts.groupBy("rank", "twin").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")), "cuts")
+    stage.drop("kinds", "repeats")
+    some, whole = split_by(texts, F.struct("rank", "twin"), cuts.select(F.struct("rank", "twin").alias("key")))
     # a sort-merge join at every size: the cuts grow with the corpus, so none is broadcast
-    out = texts.join(cuts.hint("merge"), ["rank", "twin"], "left").select("doc_id", "text", "los", "his")
-    return out.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = some.join(cuts.hint("merge"), ["rank", "twin"], "left").select("doc_id", "text", "los", "his")
+    out = out.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    raw, none = F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.lit(0).cast("long")
+    whole = whole.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), raw.alias("kept"))
+    return whole.union(out)
 
 
 def suffix_report(docs: DataFrame) -> DataFrame:
