@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Stage, chunks, fresh, grams, mix, separators, small_batches, utf8, winnow, word_hashes
+from tessera.llm._common import Stage, chunks, grams, mix, separators, small_batches, utf8, winnow, without, word_hashes
 
 WINDOW, GRAM = 13, 5
 MAP_BITS = 23  # of the bitmap of the items' fingerprints: 1 MB
@@ -185,10 +185,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated; rows that share a doc_id go together."""
-    (bad,) = fresh(docs, "bad_id")
-    dirty = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(bad)).distinct()
+    dirty = contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct()
     dirty = Stage(docs.sparkSession, "contaminated").put(dirty, "ids")
-    return docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(F.col(bad)), "left_anti")
+    return without(docs, F.col("doc_id").cast("long"), dirty)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -12,13 +12,14 @@ most ``MISS``.
 
 1. The centre of a bucket is the member that meets most others over all bands.
    Each class is tested against the centre that it shares most bands with. Links
-   are confirmed on the full sets. Components follow.
+   are confirmed on the full sets: a centre's set goes once to each SPOKES of
+   its members. Components follow.
 2. In each bucket that still holds several components, members outside the
-   centre's component are compared with all others of other components, in
-   blocks of bounded size: by signature (SIGMAS standard deviations of leeway)
-   and by 16-bit prints of the full sets, which never miss a link. Pairs that
-   are left are confirmed on the full sets too. Pairs within one component need
-   no test, as no component depends on them.
+   centre's component (strangers) are compared with all others of other
+   components, in cells of BLOCK strangers by BLOCK members: by signature
+   (SIGMAS standard deviations of leeway) and by 16-bit prints of the full sets,
+   which never miss a link. Pairs that are left are confirmed on the full sets
+   too. Pairs within one component need no test, as no component depends on them.
 3. Components again, over all confirmed links.
 
 Components are found by union-find within tasks, then by large-star and
@@ -41,12 +42,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import SPACES, Stage, chunks, documents, fresh, grams, mix, separators, shuffle_partitions, utf8, word_hashes
+from tessera.llm._common import SPACES, Stage, chunks, documents, grams, mix, separators, shuffle_partitions, split_by, utf8, without, word_hashes
 
 SLOTS = 128
 MISS = 1e-7
 SIGMAS = 6.5
-BLOCK = 2048  # members of a bucket that are compared at a time
+BLOCK = 1024  # members of a bucket that are compared with as many others at a time
+SPOKES = 1024  # members that meet one copy of their centre's set
+MAX_TURNS = 100  # of the search for components; a path of n links takes some log(n)
 HASHER, SHINGLE = 101, 7
 
 
@@ -196,7 +199,7 @@ def components(links: DataFrame, stage: Stage, name: str) -> DataFrame:
     """node and root (the least node reachable) for every node that has a link."""
     star = stage.put(links.select("a", "b").mapInArrow(_local_forest, "a long, b long").distinct(), f"{name}-0")
     before = None
-    for turn in range(1, 100):
+    for turn in range(1, MAX_TURNS + 1):
         # large star: what is greater than a node goes to the least of its neighbours
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -210,26 +213,29 @@ def components(links: DataFrame, stage: Stage, name: str) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not found in {MAX_TURNS} turns")
     return star.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 # --------------------------------------------------------------- links
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
             a, b = batch.column("set_a"), batch.column("set_b")
-            yes = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(side[i].as_buffer(), np.uint64) for side in (a, b))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                yes[i] = 100 * common >= percent * (len(both) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(yes))
+            yes = [_linked(*(np.frombuffer(side[i].as_buffer(), np.uint64) for side in (a, b)), percent) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     return run
 
@@ -241,61 +247,111 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _confirm_stars(percent: int):
+    """The links of centres with the members after them, in rows sorted by centre and part."""
+
+    def run(batches):
+        key = centre = None
+        for batch in batches:
+            table = {c: batch.column(c).to_pylist() for c in ("a", "part", "spoke")}
+            sets, yes = batch.column("members"), np.zeros(batch.num_rows, bool)
+            for i, (a, part, spoke) in enumerate(zip(table["a"], table["part"], table["spoke"])):
+                own = np.frombuffer(sets[i].as_buffer(), np.uint64)
+                if not spoke:
+                    key, centre = (a, part), own.copy()
+                elif key != (a, part):
+                    raise AssertionError("a centre's set is missing")
+                else:
+                    yes[i] = _linked(centre, own, percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(yes))
+
+    return run
+
+
+def _star_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links between centres and members; a centre goes to each part of its members."""
+    spokes = sets.filter("centre is not null").select(F.col("centre").alias("a"), "part", F.lit(True).alias("spoke"), F.col("cls").alias("b"), "members")
+    centres = sets.filter("parts is not null").select(F.col("cls").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("spoke"), F.col("cls").alias("b"), "members")
+    dealt = spokes.union(centres).repartition(shuffle_partitions(sets.sparkSession), "a", "part").sortWithinPartitions("a", "part", "spoke")
+    return dealt.mapInArrow(_confirm_stars(percent), "a long, b long")
+
+
 def prints(members: np.ndarray) -> bytes:
     """The distinct 16-bit prints of a set: common members have common prints."""
     return np.unique((members >> np.uint64(48)).astype(np.uint16)).tobytes()
 
 
 def _cross_pairs(least: int, percent: int):
-    """Pairs of a block's strangers with members of other components that can be links.
+    """Pairs of a cell: its strangers with members of other components that can be links.
 
-    Sizes, then signatures, then prints are tested. The last test is sound: no
-    more members are common than prints of one set, counted with their members,
-    are met by the other; its bound is so close that nearly all pairs it leaves
-    are links.
+    A cell has a block of strangers and a block of members. Sizes, then
+    signatures, then prints are tested. The last test is sound: no more members
+    are common than prints of one set, counted with their members, are met by
+    the other; its bound is so close that nearly all pairs it leaves are links.
     """
 
-    def pairs(cls, comp, size, short, fp, stranger):
-        for i in np.flatnonzero(stranger).tolist():
-            other = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+    def pairs(ours, theirs):
+        for cls_i, comp_i, size_i, short_i, fp_i in zip(*ours):
+            cls, comp, size, short, fp = theirs
+            other = np.flatnonzero((comp != comp_i) & (100 * np.minimum(size, size_i) >= percent * np.maximum(size, size_i)))
             if not len(other):
                 continue
-            near = other[(short[other] == short[i]).sum(axis=1) >= least]
+            near = other[(short[other] == short_i).sum(axis=1) >= least]
             if not len(near):
                 continue
             mine = np.zeros(1 << 16, bool)
-            mine[fp[i]] = True
+            mine[fp_i] = True
             for j in near.tolist():
                 lost = len(fp[j]) - int(mine[fp[j]].sum())  # at least so many of j's members are not i's
-                common = min(size[j] - lost, size[i])
-                if 100 * common >= percent * (size[i] + size[j] - common):
-                    yield (int(cls[i]), int(cls[j])) if cls[i] < cls[j] else (int(cls[j]), int(cls[i]))
-
-    def emit(rows):
-        cls, comp, size, short, fp, stranger = zip(*rows)
-        short = np.frombuffer(b"".join(short), np.uint8).reshape(len(rows), -1)
-        found = sorted(set(pairs(np.array(cls), np.array(comp), np.array(size), short, [np.frombuffer(x, np.uint16) for x in fp], np.array(stranger))))
+                common = min(size[j] - lost, size_i)
+                if 100 * common >= percent * (size_i + size[j] - common):
+                    yield (int(cls_i), int(cls[j])) if cls_i < cls[j] else (int(cls[j]), int(cls_i))
+
+    def columns(rows):
+        cls, comp, size, short, fp = zip(*rows)
+        return np.array(cls), np.array(comp), np.array(size), np.frombuffer(b"".join(short), np.uint8).reshape(len(rows), -1), [np.frombuffer(x, np.uint16) for x in fp]
+
+    def emit(cell):
+        if not all(cell):
+            return
+        found = sorted(set(pairs(*map(columns, cell))))
         for lo in range(0, len(found), 10_000):
             part = found[lo : lo + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["a", "b"])
 
     def run(batches):
-        held: list = []
+        cell: tuple[list, list] = ([], [])
         key = None
         for batch in batches:
             table = batch.to_pydict()
-            for row in zip(*(table[c] for c in ("bucket", "block", "cls", "comp", "n_shingles", "short", "prints", "stranger"))):
-                if row[:2] != key and held:
-                    yield from emit(held)
-                    held = []
-                key = row[:2]
-                held.append(row[2:])
-        if held:
-            yield from emit(held)
+            for *own, side, cls, comp, size, short, fp in zip(*(table[c] for c in ("bucket", "row", "col", "side", "cls", "comp", "n_shingles", "short", "prints"))):
+                if own != key:
+                    yield from emit(cell)
+                    cell, key = ([], []), own
+                cell[side].append((cls, comp, size, short, fp))
+        yield from emit(cell)
 
     return run
 
 
+def _cells(inside: DataFrame) -> DataFrame:
+    """Members dealt to the cells of their bucket, a block of strangers by a block of members.
+
+    Strangers stand in a row of cells, all members in a column; two blocks of
+    strangers meet in one of their two cells only, above the diagonal or on it.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    # side 0: strangers, one cell per column; side 1: strangers below the diagonal are met from the other side
+    row = F.transform(every, lambda k: F.struct(own.alias("row"), k.alias("col"), F.lit(0).alias("side")))
+    col = F.transform(every, lambda k: F.struct(k.alias("row"), own.alias("col"), F.lit(1).alias("side")))
+    upper = F.filter(col, lambda c: ~F.col("stranger") | (c["row"] <= c["col"]))
+    cells = F.when(F.col("stranger"), F.concat(row, upper)).otherwise(upper)
+    out = inside.withColumn("cell", F.explode(cells)).select("bucket", "cell.*", "cls", "comp", "n_shingles", "short", "prints")
+    return out.repartition(shuffle_partitions(inside.sparkSession), "bucket", "row", "col").sortWithinPartitions("bucket", "row", "col")
+
+
 def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, carry: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     spark, stage = docs.sparkSession, Stage(docs.sparkSession, "minhash")
@@ -320,20 +376,29 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, carry:
 
     shared = members.filter("cls <> first").groupBy("cls", "first").agg(F.count(F.lit(1)).alias("n"))
     stars = shared.groupBy("cls").agg(F.max(F.struct("n", (-F.col("first")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), F.col("cls").alias("b"))
-    stars = stage.put(stars, "stars")
+    parts = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPOKES).cast("int").alias("parts"))
+    stars = stage.put(stars.join(parts, "a"), "stars")
 
     # full sets of the classes that share a bucket, from one row of each
     wanted = members.select("cls").distinct().join(classes.select("cls", "digest", "rep"), "cls")
+    wanted = wanted.join(stars.select(F.col("b").alias("cls"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part")), "cls", "left")
+    wanted = stage.put(wanted.join(stars.select(F.col("a").alias("cls"), "parts").distinct(), "cls", "left"), "wanted")
     own = documents(docs).filter("text is not null")
-    texts = own.join(wanted.select(F.col("rep").alias("doc_id"), "cls", "digest").hint("merge"), "doc_id")
-    sets = texts.select("cls", "digest", "text").mapInArrow(_wanted_sets(words), "cls long, members binary, prints binary")
+    some, _ = split_by(own, F.col("doc_id"), stage.put(wanted.select("rep"), "reps"))
+    texts = some.join(wanted.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id")
+    kinds = "cls long, centre long, part int, parts int, members binary, prints binary"
+    sets = texts.select("cls", "centre", "part", "parts", "digest", "text").mapInArrow(_wanted_sets(words), kinds)
     lost = wanted.filter("rep is null")  # only null ids hold these sets: found by the digest itself
-    if lost.limit(1).count():
-        bare = own.filter("doc_id is null").select("text").mapInArrow(_digests_of(words), "digest binary, members binary, prints binary")
-        sets = sets.unionByName(bare.join(lost.select("digest", "cls"), "digest").select("cls", "members", "prints"))
-    sets = stage.put(sets.dropDuplicates(["cls"]), "sets")
-
-    links = stage.put(_confirmed(stars, sets, percent), "links-1")
+    bare = lost.limit(1).count()
+    if bare:
+        found = own.filter("doc_id is null").select("text").mapInArrow(_digests_of(words), "digest binary, members binary, prints binary")
+        sets = sets.unionByName(found.join(lost, "digest").select("cls", "centre", "part", "parts", "members", "prints"))
+    if bare or signed.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # else each set comes once
+        sets = sets.dropDuplicates(["cls"])
+    sets = stage.put(sets, "sets")
+    stage.drop("wanted", "reps")
+
+    links = stage.put(_star_links(sets, percent), "links-1")
     comps = stage.put(components(links, stage, "forest-1"), "components-1")
 
     # second round: buckets that still hold several components
@@ -342,12 +407,9 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, carry:
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("cls") == F.col("first"), F.col("comp"))).alias("main")).filter("lo <> hi")
     inside = labelled.join(mixed.select("bucket", "main"), "bucket").withColumn("stranger", F.col("comp") != F.col("main"))
     inside = inside.join(classes.select("cls", "n_shingles", "short"), "cls").join(sets.select("cls", "prints").hint("merge"), "cls")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.when(F.col("stranger"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("cls"), blocks).cast("int")))
-    inside = inside.select("bucket", F.explode(block).alias("block"), "cls", "comp", "n_shingles", "short", "prints", "stranger")
-    inside = inside.repartition(shuffle_partitions(spark), "bucket", "block").sortWithinPartitions("bucket", "block")
-    crossed = inside.mapInArrow(_cross_pairs(least_matches(threshold), percent), "a long, b long").distinct()
-    crossed = stage.put(crossed.join(stars, ["a", "b"], "left_anti"), "crossed")
+    crossed = _cells(inside).mapInArrow(_cross_pairs(least_matches(threshold), percent), "a long, b long").distinct()
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crossed = stage.put(crossed.join(tried, ["a", "b"], "left_anti"), "crossed")
     more = stage.put(_confirmed(crossed, sets, percent), "links-2")
     comps = components(links.unionByName(more), stage, "forest-2")
 
@@ -378,16 +440,15 @@ def _wanted_sets(words: int):
             sets = [s for _, s in shingle_sets(batch, words)]
             raw = [s.tobytes() for s in sets]
             same = [xxhash.xxh3_128_digest(s) == d for s, d in zip(raw, batch.column("digest").to_pylist())]
-            table = [batch.column("cls"), pa.array(raw, pa.binary()), pa.array([prints(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(table, names=["cls", "members", "prints"]).filter(pa.array(same, pa.bool_()))
+            names = ["cls", "centre", "part", "parts"]
+            table = [*(batch.column(c) for c in names), pa.array(raw, pa.binary()), pa.array([prints(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(table, names=[*names, "members", "prints"]).filter(pa.array(same, pa.bool_()))
 
     return run
 
 
 def near_dedup(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs that stay, one document of each group."""
-    (keep,) = fresh(docs, "keep_id")
-    kept = near_groups(docs, words, threshold).filter("kept").select(F.col("doc_id").alias(keep)).distinct()
-    kept = Stage(docs.sparkSession, "near-kept").put(kept, "ids")
-    # ids grow with the corpus, so none are broadcast; hashing a part's ids spares the texts a sort
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(keep)), "left_semi")
+    gone = near_groups(docs, words, threshold).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
+    gone = Stage(docs.sparkSession, "near-gone").put(gone, "ids")
+    return without(docs, F.col("doc_id").cast("long"), gone)

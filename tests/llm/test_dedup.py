@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests_support import thue_morse
@@ -63,6 +64,47 @@ def test_cuckoo_index_keeps_all_through_resizes_and_deletes():
     assert index.get(twin) is None
 
 
+def test_texts_of_one_digest_are_told_apart_by_their_content(monkeypatch):
+    from tessera.llm import exact_dedup as module
+
+    class Weak:
+        def __init__(self, content):
+            self.content = content
+
+        def digest(self):
+            return bytes(32)
+
+    monkeypatch.setattr(module.hashlib, "sha256", Weak)
+    texts = [b"one", b"two", b"one", b"three"]
+    batch = pa.RecordBatch.from_pydict({"uid": list(range(4)), "doc_id": [5, 6, 7, 8], "key": [module.content_key(t) for t in texts]})
+    (local,) = module._local_groups(4)([batch])
+    out = [r for b in module._index_groups([local]) for r in b.to_pylist()]
+    assert [(r["keep_id"], r["keep_uid"], r["group_size"]) for r in out] == [(7, 2, 2)]
+
+
+def test_index_holds_one_bucket_at_a_time(monkeypatch):
+    from tessera.llm import exact_dedup as module
+
+    made, held = [], []
+
+    class Counted(module.CuckooIndex):
+        def __init__(self):
+            super().__init__()
+            made.append(self)
+
+    def live(index):
+        held.append(index.size)
+        return iter(())
+
+    monkeypatch.setattr(module, "CuckooIndex", Counted)
+    monkeypatch.setattr(module, "_live", live)
+    keys = [module.content_key(str(i).encode()) for i in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"uid": list(range(4000)), "doc_id": list(range(4000)), "key": keys})
+    (local,) = module._local_groups(20)([batch])
+    assert list(module._index_groups(local.sort_by("bucket").to_batches() if isinstance(local, pa.Table) else [local.sort_by("bucket")])) == []
+    assert sum(held) == 4000 and max(held) < 300 and len(made) == 21
+
+
 # ------------------------------------------------------------------ lines
 
 ENDS = " \t\n\x0b\x0c\r"
@@ -275,6 +317,27 @@ def test_bands_miss_no_more_than_promised():
     assert 60 < least_matches(0.8) < 80
 
 
+def test_thousands_of_mutual_strangers_in_a_bucket_meet_in_cells(spark):
+    from tessera.llm import minhash_dedup as module
+
+    rng = np.random.default_rng(4)
+    n = 5000
+    short = rng.integers(0, 256, (n, 128)).astype(np.uint8)
+    prints = [np.unique(rng.integers(0, 1 << 16, 40)).astype(np.uint16) for _ in range(n)]
+    twins = rng.permutation(n)[:400].reshape(-1, 2)
+    for a, b in twins.tolist():
+        short[b], prints[b] = short[a], prints[a]
+    rows = [("k", n, i, 1 if i < 50 else i, i >= 50, 40, short[i].tobytes(), prints[i].tobytes()) for i in range(n)]
+    rows += [("other", 2, n, n, False, 40, short[0].tobytes(), prints[0].tobytes()), ("other", 2, n + 1, n + 1, True, 40, short[0].tobytes(), prints[0].tobytes())]
+    df = spark.createDataFrame([(1 if r[0] == "k" else 2, *r[1:]) for r in rows], "bucket long, n long, cls long, comp long, stranger boolean, n_shingles long, short binary, prints binary")
+    cells = module._cells(df)
+    sizes = cells.groupBy("bucket", "row", "col", "side").count().collect()
+    assert max(r["count"] for r in sizes) < 1.3 * module.BLOCK and len(sizes) > 20
+    found = [(r.a, r.b) for r in cells.mapInArrow(module._cross_pairs(least_matches(0.8), 80), "a long, b long").collect()]
+    one_component = {(a, b) for a, b in (sorted(t) for t in twins.tolist()) if b < 50}
+    assert sorted(found) == sorted({tuple(sorted(t)) for t in twins.tolist()} - one_component | {(n, n + 1)})
+
+
 def test_components_of_chains_and_stars(spark):
     from tessera.llm._common import Stage
 
