@@ -3,9 +3,9 @@
 Law: ``rows``. Shard sizes in rows are at most one apart.
 
 How it runs, with DataFrame functions only. Metadata columns are turned into
-numbers that keep their order (strings by their first bytes) and quantised at
-their own quantiles into 2 ** BITS cells. The cell's index on the Hilbert curve
-orders the rows, then the text's checksum and the id, so equal texts of equal
+numbers that keep their order (strings by 7 bytes after those that all share) and
+quantised at their own quantiles into 2 ** BITS cells. The cell's index on the
+Hilbert curve, worked out once per cell, orders the rows, then the text's checksum and the id, so equal texts of equal
 metadata lie side by side. A range partitioning sorts; a count per partition
 gives each row its place in the whole, and runs of places are the shards. No
 task gets more than a range of rows, and ranges split within a hot value, down
@@ -18,6 +18,8 @@ shards leave shards empty. Columns that are not used as dimensions play no part.
 
 from __future__ import annotations
 
+import os.path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,21 +27,24 @@ from pyspark.sql import functions as F
 from tessera.llm._common import Stage, shuffle_partitions, small_batches
 
 SHARDS, BITS = 24, 4
+MAX_BROADCAST_BITS = 18  # a table of at most so many cells, 4 MB, is broadcast
 DIMENSIONS = ("source", "lang", "size", "doc_id")
 
 
-def _ordered(column: Column, kind: str) -> Column:
-    """A number in the order of the values; strings go by their first 7 bytes."""
-    if kind == "string":
-        first = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0")
-        return F.conv(first, 16, 10).cast("double")
-    return column.cast("double")
+def _number(value: Column, shared: int) -> Column:
+    """A number in the order of strings: 7 bytes after those that all of them share."""
+    first = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), shared + 1, 7)), 14, "0")
+    return F.conv(first, 16, 10).cast("double")
+
+
+def _shared_bytes(least: str | None, greatest: str | None) -> int:
+    """How many first bytes all strings between these two share."""
+    return len(os.path.commonprefix([(least or "").encode(), (greatest or "").encode()]))
 
 
 def _cell(value: Column, bounds: list[float]) -> Column:
     """The number of bounds below the value; null: 0."""
-    below = F.filter(F.array(*(F.lit(float(b)) for b in bounds)).cast("array<double>"), lambda b: b < value)
-    return F.greatest(F.size(below), F.lit(0))
+    return sum((F.coalesce((value > F.lit(float(b))).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
 
 
 def hilbert_index(cells: list[Column], bits: int) -> Column:
@@ -88,14 +93,23 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str,
         F.col("doc_id").cast("long").alias("doc_id"),
         size.alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        *(_ordered(size if d == "size" else F.col(d), "" if d == "size" else kinds[d]).alias(f"d{i}") for i, d in enumerate(dimensions)),
+        *((size if d == "size" else F.col(d) if kinds[d] == "string" else F.col(d).cast("double")).alias(f"d{i}") for i, d in enumerate(dimensions)),
     )
     rows = stage.put(rows, "rows")
 
+    n = len(dimensions)
+    strings = [i for i, d in enumerate(dimensions) if d != "size" and kinds[d] == "string"]
+    ends = rows.agg(F.count(F.lit(1)).alias("n"), *(f(f"d{i}").alias(f"{name}{i}") for i in strings for f, name in ((F.min, "min"), (F.max, "max")))).first()
+    values = [_number(F.col(f"d{i}"), _shared_bytes(ends[f"min{i}"], ends[f"max{i}"])) if i in strings else F.col(f"d{i}") for i in range(n)]
     cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = rows.agg(*(F.percentile_approx(f"d{i}", cuts).alias(f"d{i}") for i in range(len(dimensions)))).first()
-    cells = [_cell(F.col(f"d{i}"), found[i] or []) for i in range(len(dimensions))]
-    placed = rows.select("doc_id", "size", "text_crc32", hilbert_index(cells, bits).alias("curve"))
+    found = rows.agg(*(F.percentile_approx(v, cuts).alias(f"d{i}") for i, v in enumerate(values))).first()
+    cell = sum((F.shiftleft(_cell(v, found[i] or []).cast("long"), bits * i) for i, v in enumerate(values)), F.lit(0).cast("long"))
+    rows = rows.select("doc_id", "size", "text_crc32", cell.alias("cell"))
+    # the curve is a function of the cell: worked out once for each of at most 2 ** (bits * n) cells
+    axes = [F.shiftright("cell", bits * i).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(n)]
+    curve = rows.select("cell").distinct().select("cell", hilbert_index(axes, bits).alias("curve"))
+    curve = stage.put(curve, "curve")
+    placed = rows.join(F.broadcast(curve) if bits * n <= MAX_BROADCAST_BITS else curve, "cell").drop("cell")
 
     # the range partitioning is written with its partition's number, so all that follows sees one order
     order = ["curve", "text_crc32", "doc_id", "size"]
@@ -104,7 +118,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str,
     counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
     counts = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("before"))
-    total = ranged.count()
+    total = ends["n"]
 
     place = F.col("before") + F.row_number().over(W.partitionBy("range").orderBy(*order)) - 1
     out = ranged.join(F.broadcast(counts), "range").withColumn("place", place)
