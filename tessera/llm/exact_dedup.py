@@ -1,14 +1,17 @@
 """Exact deduplication with a cuckoo-filter index of live digests.
 
 Texts are equal when identical after lower-casing A-Z. A digest is the SHA-256
-of the normalised text; with the text's length it stands for the content. Of
-equal texts the row with the largest doc_id stays.
-
-How it runs: one scan of the texts makes digests. Each batch adds up its own
-equal digests before they are shuffled, so a text held by a third of all rows
-sends a row per batch. Each bucket of the digest space builds its own index, so
-memory is the distinct digests of one bucket. A last join gives every row its
-group; it is a plain equi-join, whose skew AQE splits.
+of the normalised text. Beside it goes a print of the content, its length and its
+XXH3 of 128 bits, which a hit is verified against. Of equal texts the row with
+the largest doc_id stays.
+
+How it runs: one scan of the texts makes digests and prints. Each batch adds up
+its own equal texts before they are shuffled, so a text held by a third of all
+rows sends a row per batch. Each bucket of the digest space is read as one run
+and has an index of its own, so memory is the distinct digests of one bucket.
+Once a bucket is read, digests of one row are deleted: what is left alive are the
+groups of two rows or more, and only these are put out. A last join gives each
+row its group; it is a plain equi-join, whose skew AQE splits.
 
 Defined cases: a null text is the empty text. A null doc_id is smaller than
 any other. Rows that repeat both doc_id and text are told apart by their place
@@ -22,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +40,8 @@ class CuckooIndex:
     The filter holds 16-bit fingerprints in buckets of four; a digest lies in
     one of two buckets, the second found from the first and the fingerprint.
     Each filter slot has the stored key and value beside it: a fingerprint that
-    matches is only a hit when the stored key equals the digest. When an insert
+    matches is only a hit when the stored key equals the digest and the content's
+    print; texts of one digest and two prints are two keys. When an insert
     finds no slot after ``kicks`` moves, the table doubles and is filled again
     from the stored keys, so nothing is ever dropped.
     """
@@ -123,12 +128,17 @@ class CuckooIndex:
         return None
 
 
+def content_key(content: bytes) -> bytes:
+    """The digest of a normalised text, then the print of its content."""
+    return hashlib.sha256(content).digest() + len(content).to_bytes(8, "little") + xxhash.xxh3_128_digest(content)
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offs = utf8(batch.column("text"))
         raw, at = memoryview(buf), offs.tolist()
-        sums = [hashlib.sha256(bytes(raw[a:b]).lower()).digest() for a, b in zip(at, at[1:])]
-        out = {"doc_id": batch.column("doc_id"), "digest": pa.array(sums, pa.binary()), "n_bytes": pa.array(offs[1:] - offs[:-1])}
+        keys = [content_key(bytes(raw[a:b]).lower()) for a, b in zip(at, at[1:])]
+        out = {"doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.binary())}
         if "uid" in batch.schema.names:
             out["uid"] = batch.column("uid")
         yield pa.RecordBatch.from_pydict(out)
@@ -143,9 +153,7 @@ def _local_groups(buckets: int):
     def run(batches):
         for batch in batches:
             found: dict = {}
-            rows = zip(batch.column("uid").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), batch.column("n_bytes").to_pylist())
-            for uid, doc, digest, size in rows:
-                key = digest + size.to_bytes(8, "little")
+            for uid, doc, key in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "key"))):
                 new = (doc is not None, LEAST if doc is None else doc, uid, 1)
                 old = found.get(key)
                 found[key] = new if old is None else _better(old, new)
@@ -158,28 +166,30 @@ def _local_groups(buckets: int):
     return run
 
 
+def _live(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+    """The groups of a bucket, once digests that only one row has are deleted."""
+    for key in [k for k, v in index.items() if v[3] == 1]:
+        index.delete(key)
+    entries = list(index.items())
+    for lo in range(0, len(entries), 10_000):
+        part = entries[lo : lo + 10_000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in part], pa.binary()), pa.array([v[1] if v[0] else None for _, v in part], pa.int64()), pa.array([v[2] for _, v in part], pa.int64()), pa.array([v[3] for _, v in part], pa.int64())],
+            names=["key", "keep_id", "keep_uid", "group_size"],
+        )
+
+
 def _index_groups(batches):
-    """One index for each bucket of the digest space that the partition holds."""
-    indexes: dict[int, CuckooIndex] = {}
+    """One index at a time, for each bucket of the digest space in rows sorted by bucket."""
+    index, of = CuckooIndex(), None
     for batch in batches:
         for bucket, key, *value in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "has_id", "keep_id", "keep_uid", "group_size"))):
-            index = indexes.setdefault(bucket, CuckooIndex())
+            if bucket != of:
+                yield from _live(index)
+                index, of = CuckooIndex(), bucket
             old = index.get(key)
-            if old is None:
-                index.insert(key, tuple(value))
-                continue
-            new = _better(old, tuple(value))
-            if new[:3] != old[:3]:  # the digest of the row that no longer stays is dead
-                index.delete(key)
-            index.insert(key, new)
-    for index in indexes.values():
-        entries = list(index.items())
-        for lo in range(0, len(entries), 10_000):
-            part = entries[lo : lo + 10_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in part], pa.binary()), pa.array([v[1] if v[0] else None for _, v in part], pa.int64()), pa.array([v[2] for _, v in part], pa.int64()), pa.array([v[3] for _, v in part], pa.int64())],
-                names=["key", "keep_id", "keep_uid", "group_size"],
-            )
+            index.insert(key, tuple(value) if old is None else _better(old, tuple(value)))
+    yield from _live(index)
 
 
 def exact_groups(docs: DataFrame, uid: str | None = None) -> DataFrame:
@@ -190,14 +200,20 @@ def exact_groups(docs: DataFrame, uid: str | None = None) -> DataFrame:
     """
     stage = Stage(docs.sparkSession, "exact")
     texts = documents(docs) if uid is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(uid).alias("uid"))
-    digests = texts.mapInArrow(_digest, "doc_id long, digest binary, n_bytes long" + (", uid long" if uid else ""))
+    digests = texts.mapInArrow(_digest, "doc_id long, key binary" + (", uid long" if uid else ""))
     digests = stage.put(digests if uid else digests.withColumn("uid", F.monotonically_increasing_id()), "digests")
     buckets = shuffle_partitions(docs.sparkSession)
     local = digests.mapInArrow(_local_groups(8 * buckets), "bucket int, key binary, has_id boolean, keep_id long, keep_uid long, group_size long")
-    groups = local.repartition(buckets, "bucket").mapInArrow(_index_groups, "key binary, keep_id long, keep_uid long, group_size long")
-    groups = groups.withColumn("digest", F.substring("key", 1, 32)).drop("key")
-    return digests.join(groups, "digest").select(
-        *(["uid"] if uid else []), "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    dealt = local.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    groups = dealt.mapInArrow(_index_groups, "key binary, keep_id long, keep_uid long, group_size long")
+    shared, size = F.col("keep_uid").isNotNull(), F.coalesce("group_size", F.lit(1).cast("long"))
+    return digests.join(groups, "key", "left").select(
+        *(["uid"] if uid else []),
+        "doc_id",
+        F.when(shared, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
+        size.alias("group_size"),
+        (~shared | (F.col("uid") == F.col("keep_uid"))).alias("kept"),
+        F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"),
     )
 
 
