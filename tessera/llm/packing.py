@@ -28,6 +28,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._common import SPACES, Stage, chunks, documents, separators, span_hashes, utf8
+from tessera.llm._common import CHUNK, SPACES, Stage, chunks, documents, separators, span_hashes, utf8
 
 CAPACITY, END = 4096, 1
 SEED = 31
 #: Distinct parts of text whose tokens a worker process keeps.
-KEPT_PARTS = 500_000
+KEPT_PARTS = 1_000_000
 KEPT_BYTES = 32 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
 
@@ -55,6 +56,12 @@ def default_vocabulary() -> str:
 # --------------------------------------------------------------- tokens
 
 
+def _laid_out(buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of spans of buf, one after another."""
+    ends = np.cumsum(size)
+    return buf[np.repeat(starts - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class PartEncoder:
     """Tokens of texts, from the tokens of their distinct parts."""
 
@@ -70,13 +77,11 @@ class PartEncoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.keys = np.empty(0, np.uint64)  # sorted
-        self.at = np.empty(0, np.int64)
-        self.size = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
-        self.raw = np.empty(0, np.uint8)  # the parts' bytes
-        self.raw_at = np.empty(0, np.int64)
-        self.raw_size = np.empty(0, np.int64)
+        self.keys = np.empty(0, np.uint64)  # sorted hashes of parts, and their numbers
+        self.number = np.empty(0, np.int32)
+        # by number: bounds of the part's tokens in ids, and of its bytes in raw
+        self.ids, self.ids_end = np.empty(0, np.uint32), np.zeros(1, np.int32)
+        self.raw, self.raw_end = np.empty(0, np.uint8), np.zeros(1, np.int32)
 
     def parts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the parts of rows laid end to end."""
@@ -108,13 +113,12 @@ class PartEncoder:
         if len(self.keys):
             known = self.keys[np.minimum(slot, len(self.keys) - 1)] == distinct
         if not known.all():
-            self._learn(buf, distinct[~known], starts[first[~known]], ends[first[~known]])
+            self._learn(buf, distinct[~known], slot[~known], starts[first[~known]], ends[first[~known]])
             slot = np.searchsorted(self.keys, distinct)
-            if not len(distinct) <= len(self.keys):
-                raise AssertionError("parts were lost")
-        slot = slot[where]
-        at, size, table = self.at[slot], self.size[slot], self.ids
-        wrong = self._unlike(buf, starts, ends, slot)
+        number = self.number[slot][where]
+        at, table = self.ids_end[number].astype(np.int64), self.ids
+        size = self.ids_end[number + 1] - at
+        wrong = self._unlike(buf, starts, ends, number)
         if len(wrong):
             own = [self._tokens(bytes(memoryview(buf)[starts[i] : ends[i]])) for i in wrong.tolist()]
             size[wrong] = [len(x) for x in own]
@@ -124,38 +128,30 @@ class PartEncoder:
         ids = table[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, offs)]
 
-    def _unlike(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """The parts whose bytes are not those kept at their slot."""
-        size = ends - starts
-        unlike = size != self.raw_size[slot]
-        bounds = np.concatenate([[0], np.cumsum(size)])
-        for lo, hi in chunks(bounds):
-            some = np.flatnonzero(~unlike[lo:hi]) + lo
-            n = size[some]
-            first = np.cumsum(n) - n
-            step = np.arange(int(n.sum()))
-            differ = buf[np.repeat(starts[some] - first, n) + step] != self.raw[np.repeat(self.raw_at[slot[some]] - first, n) + step]
-            if differ.any():
-                unlike[some[np.searchsorted(first, np.flatnonzero(differ), "right") - 1]] = True
+    def _unlike(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The parts whose bytes are not those kept under their number."""
+        size, at = ends - starts, self.raw_end[number].astype(np.int64)
+        unlike = size != self.raw_end[number + 1] - at
+        some = np.flatnonzero(~unlike)
+        differ = _laid_out(buf, starts[some], size[some]) != _laid_out(self.raw, at[some], size[some])
+        if differ.any():
+            unlike[some[np.searchsorted(np.cumsum(size[some]), np.flatnonzero(differ), "right")]] = True
         return np.flatnonzero(unlike)
 
     def _tokens(self, part: bytes) -> list[int]:
         return self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
 
-    def _learn(self, buf: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def _learn(self, buf: np.ndarray, keys: np.ndarray, slot: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw = memoryview(buf)
         found = self.tokenizer.encode_batch_fast([bytes(raw[a:b]).decode() for a, b in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)
         new = [f.ids for f in found]
-        size = np.array([len(x) for x in new], np.int64)
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.array([i for x in new for i in x], np.uint32)])
-        raw_size = ends - starts
-        raw_at = len(self.raw) + np.cumsum(raw_size) - raw_size
-        self.raw = np.concatenate([self.raw, *(buf[a:b] for a, b in zip(starts.tolist(), ends.tolist()))])
-        order = np.argsort(np.concatenate([self.keys, keys]))
-        new_columns = {"keys": keys, "at": at, "size": size, "raw_at": raw_at, "raw_size": raw_size}
-        for name, values in new_columns.items():
-            setattr(self, name, np.concatenate([getattr(self, name), values])[order])
+        sizes = np.array([len(x) for x in new], np.int64)
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.uint32, int(sizes.sum()))])
+        self.raw = np.concatenate([self.raw, _laid_out(buf, starts, ends - starts)])
+        numbers = np.arange(len(keys), dtype=np.int32) + np.int32(len(self.keys))
+        self.ids_end = np.concatenate([self.ids_end, (self.ids_end[-1] + np.cumsum(sizes)).astype(np.int32)])
+        self.raw_end = np.concatenate([self.raw_end, (self.raw_end[-1] + np.cumsum(ends - starts)).astype(np.int32)])
+        self.keys, self.number = np.insert(self.keys, slot, keys), np.insert(self.number, slot, numbers)
 
     def trim(self) -> None:
         if len(self.keys) > KEPT_PARTS or len(self.raw) > KEPT_BYTES:
@@ -164,7 +160,7 @@ class PartEncoder:
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The tokens of each text."""
         buf, offs = utf8(column)
-        for lo, hi in chunks(offs):
+        for lo, hi in chunks(offs, 4 * CHUNK):
             part = buf[offs[lo] : offs[hi]]
             raw = part.tobytes()
             if any(s in raw for s in self.special):
@@ -327,5 +323,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     shared = spark.sparkContext.broadcast(plan_table(make_plan(counts, capacity), counts))
     earlier = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per task
     before = by_task.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("before"))
-    placed = pieces.join(before, ["part", "length"])
+    # a row per task and length: it grows with the corpus, so it is never broadcast
+    placed = pieces.join(before.hint("merge"), ["part", "length"])
     return placed.mapInArrow(_place(shared), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
