@@ -48,6 +48,7 @@ class Rng:
 
 
 def _advance(x: np.ndarray) -> np.ndarray:
+    # fixed values: the shifts of the generator
     x = x ^ (x << np.uint64(13))
     x = x ^ (x >> np.uint64(7))
     return x ^ (x << np.uint64(17))
@@ -110,6 +111,7 @@ def make_rows(seed: int, first: int, n: int, risks: np.ndarray) -> dict[str, np.
             total += uniform()
         return (total - f32(3)) * f32(2**0.5)
 
+    # fixed values: the order of draws, and the coefficients of the log-odds
     num = [normal() for _ in range(N_NUMERIC)]
     bounded = [(draw() % np.uint64(VOCABULARY)).astype(np.int64) for _ in range(N_BOUNDED)]
     high = [(draw() % np.uint64(IDS)).astype(np.int64) for _ in range(N_HIGH)]
