@@ -29,7 +29,7 @@ class Stage:
     """Intermediate tables of one run, as Parquet in the shared folder.
 
     A written table cuts the lineage: a lost executor costs a reread, not a
-    rerun. ``drop`` removes a table once all that reads it has been written.
+    rerun. ``drop`` and ``keep`` remove tables once all that reads them is written.
     """
 
     def __init__(self, spark: SparkSession, what: str):
@@ -44,10 +44,23 @@ class Stage:
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            path = self._hadoop.Path(f"{self.path}/{name}")
+            path.getFileSystem(self._conf).delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        path = self._hadoop.Path(self.path)
+        found = [f.getPath().getName() for f in path.getFileSystem(self._conf).listStatus(path)]
+        self.drop(*(x for x in found if x not in names))
+
+    @property
+    def _hadoop(self):
+        return self.spark._jvm.org.apache.hadoop.fs
+
+    @property
+    def _conf(self):
+        return self.spark._jsc.hadoopConfiguration()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
