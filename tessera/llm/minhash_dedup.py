@@ -48,7 +48,7 @@ SLOTS = 128
 MISS = 1e-7
 SIGMAS = 6.5
 BLOCK = 1024  # members of a bucket that are compared with as many others at a time
-SPOKES = 1024  # members that meet one copy of their centre's set
+SPOKES = 16  # members that meet one copy of their centre's set
 MAX_TURNS = 100  # of the search for components; a path of n links takes some log(n)
 HASHER, SHINGLE = 101, 7
 
@@ -415,6 +415,7 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, carry:
 
     by_class = classes.select("cls", "digest", "rep").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     by_class = stage.put(by_class, "by-class")
+    stage.keep("signed", "by-class")
     least = by_class.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = by_class.join(least, "root").select("digest", "component_id")
     out = signed.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
