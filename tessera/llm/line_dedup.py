@@ -188,7 +188,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
     gone, owner = fresh(rows, "drops", "owner")
     drops = stage.put(drops.select(F.col("doc_id").alias(owner), F.col("keys").alias(gone)), "drops")
-    stage.drop("suspects")
+    stage.keep("drops")
     key = F.col("doc_id").cast("long")
     some, whole = split_by(rows, key, drops.select(owner))
     # a sort-merge join at every size: the lists grow with the corpus, so none is broadcast

@@ -107,7 +107,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str,
     rows = rows.select("doc_id", "size", "text_crc32", cell.alias("cell"))
     # the curve is a function of the cell: worked out once for each of at most 2 ** (bits * n) cells
     axes = [F.shiftright("cell", bits * i).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(n)]
-    curve = rows.select("cell").distinct().select("cell", hilbert_index(axes, bits).alias("curve"))
+    curve = rows.select("cell").distinct().repartition(min(shuffle_partitions(spark), 32), "cell").select("cell", hilbert_index(axes, bits).alias("curve"))
     curve = stage.put(curve, "curve")
     placed = rows.join(F.broadcast(curve) if bits * n <= MAX_BROADCAST_BITS else curve, "cell").drop("cell")
 
@@ -115,6 +115,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str,
     order = ["curve", "text_crc32", "doc_id", "size"]
     ranged = placed.repartitionByRange(shuffle_partitions(spark), *order).withColumn("range", F.spark_partition_id())
     ranged = stage.put(ranged, "ranged")
+    stage.keep("ranged")
     counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row per partition
     counts = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("before"))
