@@ -72,6 +72,24 @@ FILTER_HASHES, BITS_PER_ID = 2, 16
 BITMAP_BITS = 8 * 4096
 
 
+def filter_bits(n: int) -> int:
+    """The binary logarithm of a filter's size for n keys."""
+    return min(max((BITS_PER_ID * n).bit_length(), MIN_FILTER_BITS), MAX_FILTER_BITS)
+
+
+def bitmap(places: DataFrame, log_bits: int) -> np.ndarray:
+    """The bits at the places in the column ``place``, on the driver: 2 ** MAX_FILTER_BITS at most."""
+    maps = places.groupBy(F.expr(f"place div {BITMAP_BITS}").alias("map")).agg(F.bitmap_construct_agg(F.col("place") % BITMAP_BITS).alias("bits"))
+    bits = np.zeros(1 << (log_bits - 3), np.uint8)
+    for k, own in maps.collect():
+        bits[k * BITMAP_BITS // 8 : (k + 1) * BITMAP_BITS // 8] = np.frombuffer(own, np.uint8)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
 def filter_places(key: Column, log_bits: int) -> list[Column]:
     return [F.shiftrightunsigned(F.xxhash64(key, F.lit(k)), 64 - log_bits) for k in range(FILTER_HASHES)]
 
@@ -83,22 +101,14 @@ def maybe_among(keys: DataFrame) -> Callable[[Column], Column]:
     The filter has BITS_PER_ID bits per key and at most 2 ** MAX_FILTER_BITS;
     past that it is true for more, so users of it must confirm.
     """
-    n = keys.count()
-    log_bits = min(max((BITS_PER_ID * n).bit_length(), MIN_FILTER_BITS), MAX_FILTER_BITS)
+    log_bits = filter_bits(keys.count())
     places = keys.select(F.explode(F.array(*filter_places(F.col(keys.columns[0]), log_bits))).alias("place"))
-    maps = places.groupBy(F.expr(f"place div {BITMAP_BITS}").alias("map")).agg(F.bitmap_construct_agg(F.col("place") % BITMAP_BITS).alias("bits"))
-    bits = np.zeros(1 << (log_bits - 3), np.uint8)
-    for k, own in maps.collect():  # at most 2 ** MAX_FILTER_BITS bits in all
-        bits[k * BITMAP_BITS // 8 : (k + 1) * BITMAP_BITS // 8] = np.frombuffer(own, np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(bits)
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap(places, log_bits))
 
     @F.arrow_udf("boolean")
     def test(first: pa.Array, second: pa.Array) -> pa.Array:
-        yes = np.ones(len(first), bool)
-        for place in (first, second):
-            at = place.to_numpy(zero_copy_only=False)
-            yes &= shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
-        return pa.array(yes)
+        one, two = (in_bitmap(shared.value, x.to_numpy(zero_copy_only=False)) for x in (first, second))
+        return pa.array(one & two)
 
     return lambda key: test(*filter_places(key, log_bits))
 

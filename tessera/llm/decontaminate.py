@@ -8,8 +8,8 @@ How it runs: both sides keep the minimum k-gram hash of each sliding run of w
 k-grams, with k + w - 1 the length of the shortest window of a class, so that
 every shared window shares a fingerprint. Windows of 13 words are one class;
 each shorter item length is a class of its own. The documents' fingerprints are
-first tested against a bitmap of the items' (fixed size, whatever the
-benchmark), and those left are joined with them. Each fingerprint carries the
+first tested against a bitmap of the items' (64 MB at most; past that more pass
+the test, with the same result), and those left are joined with them. Each fingerprint carries the
 hashes of the words around it; a joined pair is extended over these, and a run
 as long as a window is a hit. Runs are united per document.
 
@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import Stage, chunks, grams, mix, separators, small_batches, utf8, winnow, without, word_hashes
+from tessera.llm._common import Stage, bitmap, chunks, filter_bits, grams, in_bitmap, mix, separators, small_batches, utf8, winnow, without, word_hashes
 
 WINDOW, GRAM = 13, 5
-MAP_BITS = 23  # of the bitmap of the items' fingerprints: 1 MB
+SALTS = 32  # tasks among which the documents of one fingerprint are dealt
 #: All ASCII but 0-9, A-Z and a-z.
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 HASHER = 81
@@ -87,19 +87,20 @@ def _item_prints(batches):
                 )
 
 
-def _map_place(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+def _map_place(h: np.ndarray, log_bits: int) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - log_bits)).astype(np.int64)
 
 
-def _map_bytes(batches):
-    for batch in batches:
-        at = _map_place(batch.column("print").to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array((at >> 3).astype(np.int32)), pa.array(np.left_shift(1, at & 7).astype(np.int32))], names=["byte", "bits"])
+def _map_places(log_bits: int):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_map_place(batch.column("print").to_numpy().view(np.uint64), log_bits))], names=["place"])
+
+    return run
 
 
-def _doc_prints(lengths: list[int], shared):
+def _doc_prints(lengths: list[int], log_bits: int, shared):
     def run(batches):
-        known = np.unpackbits(shared.value, bitorder="little").view(bool) if lengths else None
         for batch in batches:
             counts = np.zeros(batch.num_rows, np.int64)
             found: list = [None] * batch.num_rows
@@ -107,13 +108,17 @@ def _doc_prints(lengths: list[int], shared):
                 counts[row] = len(words)
                 prints = []
                 for n, h, at in _fingerprints(words, lengths):
-                    yes = known[_map_place(h)]
+                    yes = in_bitmap(shared.value, _map_place(h, log_bits))
                     if yes.any():
+                        # a document's places with the same words around go as one
+                        same: dict[tuple[int, bytes], list[int]] = {}
                         around = np.ascontiguousarray(_around(words, at[yes], n))
-                        prints += [{"length": n, "print": p, "at": a, "doc_words": x.tobytes()} for p, a, x in zip(h[yes].view(np.int64).tolist(), at[yes].tolist(), around)]
+                        for p, a, x in zip(h[yes].view(np.int64).tolist(), at[yes].tolist(), around):
+                            same.setdefault((p, x.tobytes()), []).append(a)
+                        prints += [{"length": n, "print": p, "at": a, "doc_words": x} for (p, x), a in same.items()]
                 found[row] = prints
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("doc_id"), pa.array(counts), pa.array(found, pa.list_(pa.struct([("length", pa.int32()), ("print", pa.int64()), ("at", pa.int64()), ("doc_words", pa.binary())])))],
+                [batch.column("doc"), batch.column("doc_id"), pa.array(counts), pa.array(found, pa.list_(pa.struct([("length", pa.int32()), ("print", pa.int64()), ("at", pa.list_(pa.int64())), ("doc_words", pa.binary())])))],
                 names=["doc", "doc_id", "n_words", "prints"],
             )
 
@@ -127,7 +132,7 @@ def _extend(batches):
             continue
         lengths = batch.column("length").to_numpy(zero_copy_only=False)
         ours, theirs = batch.column("doc_words").to_pylist(), batch.column("item_words").to_pylist()
-        places = batch.column("at").to_numpy(zero_copy_only=False)
+        places = batch.column("at")
         docs, items = batch.column("doc"), batch.column("item_id")
         for length in np.unique(lengths).tolist():
             of = np.flatnonzero(lengths == length)
@@ -139,8 +144,11 @@ def _extend(batches):
             right = np.cumprod(same[:, w - 1 + k :], axis=1).sum(axis=1)
             good = same[:, w - 1 : w - 1 + k].all(axis=1) & (left + k + right >= length)
             pick = of[good]
-            start = places[pick] - left[good]
-            yield pa.RecordBatch.from_arrays([docs.take(pa.array(pick)), items.take(pa.array(pick)), pa.array(start), pa.array(start + (left + k + right)[good])], names=["doc", "item_id", "lo", "hi"])
+            own = places.take(pa.array(pick))
+            times = np.diff(own.offsets.to_numpy())
+            pick, before, size = np.repeat(pick, times), np.repeat(left[good], times), np.repeat((left + k + right)[good], times)
+            start = own.flatten().to_numpy(zero_copy_only=False) - before
+            yield pa.RecordBatch.from_arrays([docs.take(pa.array(pick)), items.take(pa.array(pick)), pa.array(start), pa.array(start + size)], names=["doc", "item_id", "lo", "hi"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -154,17 +162,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     theirs = stage.put(items.mapInArrow(_item_prints, "item_id long, length int, print long, item_words binary").distinct(), "items")
 
     lengths = sorted(r[0] for r in theirs.select("length").distinct().collect())  # 13 at most
-    bitmap = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    places = theirs.select("print").distinct().mapInArrow(_map_bytes, "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits"))
-    for byte, bits in places.collect():  # no more rows than the bitmap has bytes
-        bitmap[byte] |= bits
-    shared = spark.sparkContext.broadcast(bitmap)
+    log_bits = filter_bits(theirs.count())
+    shared = spark.sparkContext.broadcast(bitmap(theirs.select("print").mapInArrow(_map_places(log_bits), "place long"), log_bits))
 
     texts = docs.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = "prints array<struct<length:int,print:long,at:long,doc_words:binary>>"
-    ours = stage.put(texts.mapInArrow(_doc_prints(lengths, shared), f"doc long, doc_id long, n_words long, {prints}"), "documents")
+    prints = "prints array<struct<length:int,print:long,at:array<long>,doc_words:binary>>"
+    ours = stage.put(texts.mapInArrow(_doc_prints(lengths, log_bits, shared), f"doc long, doc_id long, n_words long, {prints}"), "documents")
 
-    pairs = ours.select("doc", F.inline("prints")).join(theirs, ["length", "print"])
+    # a short item can be in most documents: its rows go to SALTS tasks
+    salted = ours.select("doc", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt"), F.inline("prints"))
+    pairs = salted.join(theirs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["length", "print", "salt"])
     hits = pairs.select("doc", "length", "at", "doc_words", "item_id", "item_words").mapInArrow(_extend, "doc long, item_id long, lo long, hi long")
     # a passage met through several fingerprints or items is one run
     runs = hits.groupBy("doc", "lo", "hi").agg(F.collect_set("item_id").alias("ids"))
