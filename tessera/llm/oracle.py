@@ -2,6 +2,64 @@
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _xor(*terms: str) -> str:
+    return terms[0] if len(terms) == 1 else f"xor({_xor(*terms[:-1])}, {terms[-1]})"
+
+
+def _hilbert(bits: int = 4, axes: int = 4) -> str:
+    """curve: the place on the Hilbert curve of each row of cells (x0, x1, ...)."""
+    parts, last = [], "cells"
+    x = [f"x{i}" for i in range(axes)]
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(axes):
+            swap = f"({_xor('x0', x[i])} & {q - 1})"
+            new = {"x0": f"CASE WHEN {x[i]} & {q} <> 0 THEN {_xor('x0', str(q - 1))} ELSE {_xor('x0', swap)} END"}
+            if i:
+                new[x[i]] = f"CASE WHEN {x[i]} & {q} <> 0 THEN {x[i]} ELSE {_xor(x[i], swap)} END"
+            parts.append(f"step{q}_{i} AS (SELECT * REPLACE ({', '.join(f'{v} AS {k}' for k, v in new.items())}) FROM {last})")
+            last = f"step{q}_{i}"
+    parts.append(f"folded AS (SELECT * REPLACE ({', '.join(f'{_xor(*x[: i + 1])} AS {x[i]}' for i in range(axes))}) FROM {last})")
+    turn = _xor(*(f"CASE WHEN {x[-1]} & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END" for b in range(bits - 1, 0, -1)))
+    parts.append(f"turned AS (SELECT *, {turn} AS turn FROM folded)")
+    spread = [f"({_xor(x[i], 'turn')} >> {b}) & 1" for b in range(bits - 1, -1, -1) for i in range(axes)]
+    parts.append("curve AS (SELECT *, " + " + ".join(f"(({v}) << {len(spread) - 1 - k})" for k, v in enumerate(spread)) + " AS curve FROM turned)")
+    return ",\n".join(parts)
+
+
+def _below(x: str) -> str:
+    """How many of the 15 quantiles of a column of numbers lie below it; 0 for null."""
+    return f"CAST(coalesce(len(list_filter(list_transform(range(1, 16), lambda k: s_{x}[CAST(ceil(k / 16.0::double * len(s_{x})) AS BIGINT)]), lambda c: c < {x})), 0) AS BIGINT)"
+
+
+def _shared(x: str) -> str:
+    """The seven bytes of a string, as digits, after those that all share."""
+    return f"rpad(substr(hex(encode({x})), 2 * {x}_shared + 1, 14), 14, '0')"
+
+
+def _shared_bytes(x: str) -> str:
+    return f"(SELECT coalesce(list_max(list_filter(range(length(a) // 2 + 1), lambda k: substr(a, 1, 2 * k) = substr(b, 1, 2 * k) AND 2 * k <= length(b))), 0) FROM (SELECT hex(encode(min({x}))) AS a, hex(encode(max({x}))) AS b FROM documents)) AS {x}_shared"
+
+
+# quantiles are exact, as the sketch is up to 5,000 rows a task; the checksum goes byte by byte through a table made from its polynomial
+OP2 = f"""
+WITH RECURSIVE steps(n, k, c) AS (
+  SELECT n, 0, n::UBIGINT FROM range(256) r(n)
+  UNION ALL SELECT n, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY n) AS crc FROM steps WHERE k = 8),
+docs AS (SELECT row_number() OVER () AS r, doc_id, source, lang, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT r, k, substr(h, 2000 * k + 1, 2000) AS piece FROM (SELECT r, h, unnest(range((length(h) + 1999) // 2000)) AS k FROM docs)),
+bytes AS (SELECT r, flatten(list(list_transform(range(length(piece) // 2), lambda i: CAST('0x' || substr(piece, 2 * i + 1, 2) AS UBIGINT)) ORDER BY k)) AS b FROM pieces GROUP BY r),
+sums AS (SELECT r, xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda c, x: xor(crc[CAST(xor(c, x) % 256 AS BIGINT) + 1], c // 256)), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM bytes, crc),
+ends AS (SELECT {_shared_bytes('source')}, {_shared_bytes('lang')}),
+numbers AS (SELECT docs.r, doc_id, length(h) // 2 + 8 AS size, coalesce(text_crc32, 0) AS text_crc32, {_shared('source')} AS source, {_shared('lang')} AS lang FROM docs LEFT JOIN sums ON sums.r = docs.r, ends),
+sorted AS (SELECT {', '.join(f"list({x} ORDER BY {x}) FILTER (WHERE {x} IS NOT NULL) AS s_{x}" for x in ('source', 'lang', 'size', 'doc_id'))} FROM numbers),
+cells AS (SELECT doc_id, size, text_crc32, {', '.join(f"{_below(x)} AS x{i}" for i, x in enumerate(('source', 'lang', 'size', 'doc_id')))} FROM numbers, sorted),
+{_hilbert()},
+placed AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, doc_id NULLS FIRST, size) - 1 AS place, count(*) OVER () AS n FROM curve)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 24 // n AS INT) AS shard, place - ((place * 24 // n) * n + 23) // 24 AS slot, CAST(NULL AS INT) AS grown_shard, curve FROM placed
+"""
+
 # bytes as hexadecimal digits; texts go by pieces, as cutting a string reads it from its start
 OP4 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -78,4 +136,4 @@ FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN (SELECT doc_id, min(other
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix_dedup": OP4, "op6_line_dedup": OP6, "op7_exact_dedup": OP7, "op8_decontaminate": OP8, "op10_super_minhash": OP10}
+    return {"op2_hilbert_shards": OP2, "op4_suffix_dedup": OP4, "op6_line_dedup": OP6, "op7_exact_dedup": OP7, "op8_decontaminate": OP8, "op10_super_minhash": OP10}
