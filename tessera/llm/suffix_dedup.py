@@ -11,20 +11,24 @@ wherever they occur. What a repeated string around an anchor can reach is its
 context, 68 bytes to either side.
 
 1. One scan finds anchors. Equal contexts within a batch go as one; the later
-   ones are repeats as a whole. The first ones are dealt out by anchor.
+   ones are repeats as a whole. The first ones are dealt out by anchor. An anchor
+   with FREQUENT kinds of context in a batch isn't: it is set down as frequent.
 2. Per anchor, contexts that equal an earlier one (by their XXH3) are repeats as
-   a whole.
-   Anchors with one kind of context are done. Those with several need bytes.
-3. A second scan sends the bytes of the first context of each kind. (Which ones
-   are needed is a Bloom filter of at most 2 ** MAX_BITS bits; past its capacity
+   a whole. Anchors with one kind of context are done, those with several need
+   bytes.
+3. A second scan sends the bytes of the first context of each kind, and those of
+   all contexts of frequent anchors. (Which ones are needed is a Bloom filter of at most 2 ** MAX_BITS bits; past its capacity
    more contexts are sent, with the same result.)
-4. Contexts are dealt out twice: by the bytes from the anchor to 34 beyond it,
-   and by those from 35 before it. Any window of 100 bytes round an anchor holds
-   one of the two, so groups that share less fall apart. In each partition the
-   suffixes that start at anchors are sorted; a stack scan of the common-prefix
-   lengths gives the interval tree. For each interval the left extensions are
-   told apart; where they differ, the members that share enough to the left are
-   a maximal repeat, put out with all occurrences. All but the first are cut.
+4. A window of 100 bytes round an anchor starts 0 to 34 or 35 to 68 bytes before
+   it. Contexts are dealt out twice, each time by the bytes that all windows of
+   such a range have in common, so groups that share less fall apart. Where more
+   than CROWD contexts of frequent anchors share a key, their range is halved, and again, until the
+   groups are small or the range is one window; contexts that are equal within
+   the narrower range go as one. In each group the suffixes that start at anchors
+   are sorted; a stack scan of the common-prefix lengths gives the interval tree.
+   For each interval the left extensions are told apart; where they differ, the
+   members that share enough to the left are a maximal repeat, put out with all
+   occurrences. All but the first are cut.
 5. Cuts are united per document and joined to the texts they fall in; a filter
    lets all other texts pass without a shuffle.
 
@@ -39,14 +43,16 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import CHUNK, Rolling, Stage, mix, shuffle_partitions, sliding, small_batches, split_by, utf8
+from tessera.llm._common import CHUNK, Rolling, Stage, bitmap, filter_bits, in_bitmap, mix, shuffle_partitions, sliding, small_batches, split_by, utf8
 
 LENGTH = 100
 GRAM = 32
@@ -116,7 +122,7 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], hi[last]
 
 
-#: Rows on the way: anchors or places of a bucket, packed; or cuts of a document.
+#: Rows on the way: anchors or places of a bucket, packed; frequent anchors, packed, with twin 1; or cuts of a document.
 PACKED = "bucket int, rank long, twin int, packed binary, lo array<int>, hi array<int>"
 CUTS = "rank long, twin int, lo array<int>, hi array<int>"
 
@@ -194,6 +200,11 @@ def _scan(buckets: int, shape: Shape):
     def flush(parts):
         firsts, cuts = _split_first(np.concatenate(parts), shape)
         yield from _passed(cuts)
+        anchors, where, count = np.unique(firsts["anchor"], return_inverse=True, return_counts=True)
+        frequent = anchors[count >= FREQUENT]
+        if len(frequent):
+            yield _record(PACKED, bucket=[int(frequent[0] >> np.uint64(40)) % buckets], twin=[1], packed=[frequent.tobytes()])
+            firsts = firsts[count[where] < FREQUENT]
         bucket = (firsts["anchor"] >> np.uint64(40)).astype(np.int64) % buckets
         firsts = firsts[np.argsort(bucket, kind="stable")]
         size = np.bincount(bucket, minlength=buckets)
@@ -231,12 +242,13 @@ def _kinds(shape: Shape):
     def run(batches):
         found: dict[int, list] = {}
         for batch in batches:
-            whole = [i for i, p in enumerate(batch.column("packed")) if not p.is_valid]
-            if whole:
-                yield batch.take(pa.array(whole))
+            entries = pc.and_(pc.is_valid(batch.column("packed")), pc.is_null(batch.column("twin")))
+            passed = batch.filter(pc.invert(entries))
+            if passed.num_rows:
+                yield passed
+            batch = batch.filter(entries)
             for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist()):
-                if packed is not None:
-                    found.setdefault(bucket, []).append(packed)
+                found.setdefault(bucket, []).append(packed)
         for bucket in list(found):
             firsts, cuts = _split_first(np.concatenate([_unpack(p) for p in found.pop(bucket)]), shape)
             yield from _passed(cuts)
@@ -249,6 +261,19 @@ def _kinds(shape: Shape):
     return run
 
 
+def _filter_place(key: np.ndarray, log_bits: int) -> np.ndarray:
+    return (mix(key) >> np.uint64(64 - log_bits)).astype(np.int64)
+
+
+def _frequent_places(log_bits: int):
+    def run(batches):
+        for batch in batches:
+            for packed in batch.column("packed").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_filter_place(np.frombuffer(packed, np.uint64), log_bits))], names=["place"])
+
+    return run
+
+
 def _where(rank: np.ndarray, twin: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(mix(rank.astype(np.uint64) ^ (twin.astype(np.uint64) << np.uint64(32))) ^ at.astype(np.uint64))
 
@@ -285,27 +310,71 @@ def _merge_bits(batches):
         yield _record("segment int, bits binary", segment=[s], bits=[zlib.compress(bits.tobytes(), 1)])
 
 
-CONTEXTS = "bucket int, packed binary"
-#: A context on the way: its key, where it starts, and how its bytes split at the anchor.
-HEAD = np.dtype([("key", "<u8"), ("rank", "<i8"), ("twin", "<i4"), ("at", "<i4"), ("before", "<u2"), ("size", "<u2")])
+#: Rows on the way: contexts of a bucket, packed, to be counted (open) or not; or cuts of a document.
+CONTEXTS = "bucket int, open int, packed binary, rank long, twin int, lo array<int>, hi array<int>"
+#: A context on the way: its key, its range of window starts, where its anchor is, and how its bytes split there.
+HEAD = np.dtype([("key", "<u8"), ("rank", "<i8"), ("twin", "<i4"), ("at", "<i4"), ("before", "<u2"), ("size", "<u2"), ("least", "<u2"), ("most", "<u2")])
+#: Contexts that share a key and are looked at by one task.
+CROWD = 4_096
+#: Kinds of context round an anchor, among a million of a task, from which it counts as frequent.
+FREQUENT = 256
+
+
+def _key(common: bytes, least: int, most: int) -> int:
+    return xxhash.xxh3_64_intdigest(common + bytes((least >> 8, least & 255, most >> 8, most & 255)))
 
 
-def _contexts(shape: Shape, log_bits: int, buckets: int, shared):
-    """The contexts that are needed, each by its right and by its left key."""
+def _packed_contexts(heads: list[tuple] | np.ndarray, parts: list[bytes], buckets: int, open_: int) -> Iterator[pa.RecordBatch]:
+    head = np.array(heads, HEAD)
+    bucket = ((head["key"] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+    for b in np.unique(bucket).tolist():
+        own = np.flatnonzero(bucket == b).tolist()
+        packed = len(own).to_bytes(4, "little") + head[own].tobytes() + b"".join(parts[i] for i in own)
+        yield _record(CONTEXTS, bucket=[b], open=[open_], packed=[zlib.compress(packed, 1)])
 
-    def flush(heads: list[tuple], parts: list[bytes]):
-        head = np.array(heads, HEAD)
-        bucket = ((head["key"] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-        for b in np.unique(bucket).tolist():
-            own = np.flatnonzero(bucket == b).tolist()
-            packed = len(own).to_bytes(4, "little") + head[own].tobytes() + b"".join(parts[i] for i in own)
-            yield _record(CONTEXTS, bucket=[b], packed=[zlib.compress(packed, 1)])
+
+def _unpacked_contexts(packed: bytes) -> tuple[np.ndarray, bytes]:
+    raw = zlib.decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    return np.frombuffer(raw, HEAD, n, 4), raw[4 + n * HEAD.itemsize :]
+
+
+def _first_ones(heads: list[tuple], parts: list[bytes], length: int) -> tuple[list[tuple], list[bytes], Iterator[pa.RecordBatch]]:
+    """The first of contexts that are equal within their range, and the later ones as cuts."""
+    firsts: dict[tuple, tuple] = {}
+    cut = []
+    for new, part in zip(heads, parts):
+        kind = (new[6], new[4], part)
+        old = firsts.get(kind)
+        if old is None or new[1:4] < old[1:4]:
+            firsts[kind] = new
+            old, new = new, old
+        if new is not None and new[1:4] != old[1:4] and len(part) >= length:
+            cut.append((new[1], new[2], new[3] - new[4], new[3] - new[4] + len(part)))
+    return list(firsts.values()), [k[2] for k in firsts], _cuts_on(cut)
+
+
+def _cuts_on(cut: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if cut:
+        for c in _passed(_by_document(*(np.array(x, np.int64) for x in zip(*cut)))):
+            yield _record(CONTEXTS, **{name: c.column(name).to_pylist() for name in ("bucket", "rank", "twin", "lo", "hi")})
+
+
+def _contexts(shape: Shape, log_bits: int, buckets: int, shared, frequent_bits: int, frequent):
+    """The contexts that are needed, for each half of the window starts; those of frequent anchors are open."""
+
+    def flush(heads, parts, open_):
+        if open_:
+            heads, parts, cuts = _first_ones(heads, parts, shape.length)
+            yield from cuts
+        if heads:
+            yield from _packed_contexts(heads, parts, buckets, open_)
 
     def run(batches):
         rolling = Rolling(ROLLING, GRAM)
         needed = shared.value
         reach, half, length = shape.reach, shape.half, shape.length
-        heads, parts, held = [], [], 0
+        heads, parts, held = ([], []), ([], []), 0
         for batch in batches:
             ranks, twins = batch.column("rank").to_pylist(), batch.column("twin").to_pylist()
             for i, raw in _texts(batch):
@@ -315,26 +384,73 @@ def _contexts(shape: Shape, log_bits: int, buckets: int, shared):
                 yes = np.ones(len(at), bool)
                 for segment, bit in _places(_where(np.full(len(at), ranks[i]), np.full(len(at), twins[i]), at), log_bits):
                     yes &= needed[segment * (1 << 13) + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1 > 0
-                at = at[yes].tolist()
-                text = raw.tobytes() if at else b""
-                for p in at:
-                    # windows that start at most half before the anchor, and those that start earlier
-                    for a, b, key in (
-                        (p - half, p + length, text[p : p + length - half] + b"R"),
-                        (p - reach, p + length - half - 1, text[max(p - half - 1, 0) : p + GRAM] + b"L"),
-                    ):
-                        if key[-1:] == b"R" and p + length - half > len(text) or key[-1:] == b"L" and p < half + 1:
+                many = in_bitmap(frequent.value, _filter_place(h, frequent_bits))
+                yes |= many
+                text = raw.tobytes() if yes.any() else b""
+                for p, open_ in zip(at[yes].tolist(), many[yes].tolist()):
+                    for least, most in ((0, half), (half + 1, reach)):
+                        if p < least or p + length - most > len(text):
                             continue
-                        a = max(a, 0)
-                        part = text[a:b]
-                        heads.append((xxhash.xxh3_64_intdigest(key), ranks[i], twins[i], p, p - a, len(part)))
-                        parts.append(part)
+                        a = max(p - most, 0)
+                        part = text[a : p + length - least]
+                        heads[open_].append((_key(text[p - least : p + length - most], least, most), ranks[i], twins[i], p, p - a, len(part), least, most))
+                        parts[open_].append(part)
                         held += len(part)
                 if held >= 16 << 20:
-                    yield from flush(heads, parts)
-                    heads, parts, held = [], [], 0
-        if heads:
-            yield from flush(heads, parts)
+                    for open_ in (0, 1):
+                        yield from flush(heads[open_], parts[open_], open_)
+                    heads, parts, held = ([], []), ([], []), 0
+        for open_ in (0, 1):
+            yield from flush(heads[open_], parts[open_], open_)
+
+    return run
+
+
+def _key_counts(batches):
+    for batch in batches:
+        for packed in batch.column("packed").to_pylist():
+            keys, n = np.unique(_unpacked_contexts(packed)[0]["key"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+
+def _crowd_places(log_bits: int):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_filter_place(batch.column("key").to_numpy().view(np.uint64), log_bits))], names=["place"])
+
+    return run
+
+
+def _narrowed(head: tuple, body: bytes, length: int) -> Iterator[tuple[tuple, bytes]]:
+    """A context for each half of its window starts."""
+    _, rank, twin, at, before, _, least, most = head
+    middle = (least + most) // 2
+    for lo, hi in ((least, middle), (middle + 1, most)):
+        end = before + length - hi  # of the bytes that all these windows have
+        if before < lo or end > len(body):
+            continue
+        a = max(before - hi, 0)
+        part = body[a : before + length - lo]
+        yield (_key(body[before - lo : end], lo, hi), rank, twin, at, before - a, len(part), lo, hi), part
+
+
+def _split_crowds(shape: Shape, log_bits: int, buckets: int, shared):
+    """Contexts with a crowded key, narrowed to halves of their window starts; all others are done."""
+
+    def run(batches):
+        for batch in batches:
+            for packed in batch.column("packed").to_pylist():
+                head, body = _unpacked_contexts(packed)
+                ends = np.cumsum(head["size"].astype(np.int64))
+                many = in_bitmap(shared.value, _filter_place(head["key"], log_bits)) & (head["least"] < head["most"])
+                rest = np.flatnonzero(~many).tolist()
+                if rest:
+                    yield from _packed_contexts(head[rest], [body[ends[i] - head["size"][i] : ends[i]] for i in rest], buckets, 0)
+                narrow = [x for i in np.flatnonzero(many).tolist() for x in _narrowed(head[i].item(), body[ends[i] - head["size"][i] : ends[i]], shape.length)]
+                heads, parts, cuts = _first_ones([x for x, _ in narrow], [x for _, x in narrow], shape.length)
+                yield from cuts
+                if heads:
+                    yield from _packed_contexts(heads, parts, buckets, 1)
 
     return run
 
@@ -386,7 +502,7 @@ def _common_prefixes(strings: list[bytes]) -> list[int]:
     """Lengths of the common prefixes of neighbours in a sorted list."""
     if len(strings) < 2:
         return []
-    width = max(map(len, strings))
+    width = max(1, *map(len, strings))
     out = np.empty(len(strings) - 1, np.int64)
     for lo in range(0, len(strings) - 1, 4096):
         part = strings[lo : lo + 4097]
@@ -427,11 +543,13 @@ def _repeat_cuts(length: int):
     def run(batches):
         heads, bodies = [], []
         for batch in batches:
-            for packed in batch.column("packed").to_pylist():
-                raw = zlib.decompress(packed)
-                n = int.from_bytes(raw[:4], "little")
-                heads.append(np.frombuffer(raw, HEAD, n, 4).copy())
-                bodies.append(raw[4 + n * HEAD.itemsize :])
+            done = batch.filter(pc.is_null(batch.column("packed")))
+            if done.num_rows:
+                yield done.select(["rank", "twin", "lo", "hi"])
+            for packed in batch.column("packed").drop_null().to_pylist():
+                head, body = _unpacked_contexts(packed)
+                heads.append(head)
+                bodies.append(body)
         if not heads:
             return
         head, body = np.concatenate(heads), b"".join(bodies)
@@ -497,6 +615,24 @@ def _apply(batches):
         )
 
 
+def _uncrowded(contexts: DataFrame, shape: Shape, buckets: int, stage: Stage) -> DataFrame:
+    """The contexts, with crowded keys narrowed down, and the cuts that showed on the way."""
+    contexts = stage.put(contexts, "contexts-0")
+    done = []
+    for turn in range(1, shape.length.bit_length() + 1):  # a range of one window can't be halved
+        open_ = contexts.filter("open = 1 and packed is not null")
+        counts = open_.select("packed").mapInArrow(_key_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        crowded = stage.put(counts.filter(F.col("n") > CROWD).select("key"), f"crowded-{turn}")
+        n = crowded.count()
+        if not n:
+            break
+        done.append(contexts.filter("open is null or open = 0"))
+        log_bits = filter_bits(n)
+        shared = contexts.sparkSession.sparkContext.broadcast(bitmap(crowded.mapInArrow(_crowd_places(log_bits), "place long"), log_bits))
+        contexts = stage.put(open_.mapInArrow(_split_crowds(shape, log_bits, buckets, shared), CONTEXTS), f"contexts-{turn}")
+    return reduce(DataFrame.unionByName, [*done, contexts])
+
+
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes left.
 
@@ -511,7 +647,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     scanned = ranked.mapInArrow(_scan(4 * buckets, shape), PACKED)
     kinds = stage.put(scanned.repartition(buckets, "bucket").mapInArrow(_kinds(shape), PACKED), "kinds")
-    need = kinds.filter("packed is not null").select("packed")
+    often = kinds.filter("packed is not null and twin = 1").select("packed")
+    count = often.agg(F.sum(F.length("packed"))).first()[0] or 0
+    frequent_bits = filter_bits(count // 8)
+    frequent = spark.sparkContext.broadcast(bitmap(often.mapInArrow(_frequent_places(frequent_bits), "place long"), frequent_bits))
+    need = kinds.filter("packed is not null and twin is null").select("packed")
     count = need.agg(F.sum(F.length("packed"))).first()[0] or 0
     log_bits = min(max((2 * count).bit_length(), MIN_BITS), MAX_BITS)  # 16 to 32 bits for each
     bits = "segment int, bits binary"
@@ -521,12 +661,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         needed[segment << 13 : (segment + 1) << 13] = np.frombuffer(zlib.decompress(packed), np.uint8)
     shared = spark.sparkContext.broadcast(needed)
 
-    contexts = ranked.mapInArrow(_contexts(shape, log_bits, 4 * buckets, shared), CONTEXTS)
+    contexts = _uncrowded(ranked.mapInArrow(_contexts(shape, log_bits, 4 * buckets, shared, frequent_bits, frequent), CONTEXTS), shape, 4 * buckets, stage)
     found = stage.put(contexts.repartition(buckets, "bucket").mapInArrow(_repeat_cuts(length), CUTS), "repeats")
 
     cuts = kinds.filter("lo is not null").select("rank", "twin", "lo", "hi").unionByName(found)
     cuts = stage.put(cuts.groupBy("rank", "twin").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")), "cuts")
-    stage.drop("kinds", "repeats")
+    stage.keep("cuts")
     some, whole = split_by(texts, F.struct("rank", "twin"), cuts.select(F.struct("rank", "twin").alias("key")))
     # a sort-merge join at every size: the cuts grow with the corpus, so none is broadcast
     out = some.join(cuts.hint("merge"), ["rank", "twin"], "left").select("doc_id", "text", "los", "his")

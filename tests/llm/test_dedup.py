@@ -223,6 +223,42 @@ def test_texts_of_several_mib(spark, frame):
     assert got == brute_contamination(rows, items)
 
 
+@pytest.mark.parametrize("crowd", [1, 3, 20])
+def test_crowded_groups_are_split(frame, corpus, monkeypatch, crowd):
+    from tessera.llm import suffix_dedup as module
+
+    monkeypatch.setattr(module, "CROWD", crowd)
+    scan = module._scan
+
+    def scan_with_frequent_anchors(buckets, shape):
+        def run(batches):
+            module.FREQUENT = 2  # in the worker that runs it
+            yield from scan(buckets, shape)(batches)
+
+        return run
+
+    monkeypatch.setattr(module, "_scan", scan_with_frequent_anchors)
+    uncrowded, narrowed = module._uncrowded, []
+
+    def spied(*args):
+        out = uncrowded(*args)
+        narrowed.append(out.filter("open = 0").count())
+        return out
+
+    monkeypatch.setattr(module, "_uncrowded", spied)
+    rng = np.random.default_rng(crowd)
+
+    def noise(n):
+        return "".join(rng.choice(list("abcdefgh é"), n))
+
+    # shared strings a little under and over 100 bytes, in ever new surroundings
+    passages = [noise(n) for n in (40, 70, 90, 110, 160, 300)]
+    rows = [(i, noise(int(rng.integers(0, 150))) + passages[i % 6][: int(rng.integers(60, 301))] + noise(int(rng.integers(0, 150)))) for i in range(240)]
+    rows += [(300 + i, t) for i, t in corpus]
+    assert suffix_result(frame(rows)) == brute_suffix([(d, t or "") for d, t in rows])
+    assert narrowed[0] > 0
+
+
 def test_suffix_edges(frame):
     x = "".join(chr(97 + i % 26) + str(i) for i in range(60))
     rows = suffix_dedup(frame([(None, x), (1, x), (1, x), (2, None), (3, "short")])).collect()
