@@ -374,6 +374,20 @@ def test_hilbert_curve_is_continuous_and_complete(spark):
         assert all(sum(abs(a - b) for a, b in zip(x, y)) == 1 for (_, x), (_, y) in zip(rows, rows[1:]))
 
 
+def test_shards_of_texts_of_several_mib(frame):
+    rows = [(1, "é" * (2 << 20)), (2, "x" * (3 << 20)), (3, None)]
+    got = {r.doc_id: (r.size, r.text_crc32) for r in hilbert_shards(frame(rows)).collect()}
+    assert got == {d: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows}
+
+
+def test_strings_with_long_shared_starts_differ_on_the_curve(spark):
+    rows = [(i, "t", "en", f"https://example.org/source_{i % 16:03d}", 1) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    placed = hilbert_shards(df, dimensions=("source",)).select("doc_id", "curve").collect()
+    assert len({r.curve for r in placed}) == 16
+    assert all(a == b for a, b in ((r.curve, next(x.curve for x in placed if x.doc_id == r.doc_id % 16)) for r in placed))
+
+
 def test_shards_hold_the_law(frame, corpus):
     rows = corpus + [(None, None), (3, "x"), (3, "x")] + [(500 + i, "copy") for i in range(70)]
     got = hilbert_shards(frame(rows, clash=True)).collect()
@@ -446,6 +460,15 @@ def test_where_all_rows_are_labelled_any_stand_in_for_unlabelled(spark, frame, m
     assert (len(positive), len(clean)) == (20, 20) and Counter(w.tobytes() for w in mixed) == expected
 
 
+def test_words_of_texts_of_several_mib():
+    from tessera.llm.toxicity import word_ids
+
+    rng = np.random.default_rng(9)
+    lines = [" ".join(f"Word{x}" for x in rng.integers(0, 10**6, 1000)) for _ in range(300)]
+    whole, *parts = word_ids(pa.array(["\n".join(lines), *lines], pa.string()))
+    assert sum(map(len, lines)) > 3 << 20 and whole.tolist() == np.unique(np.concatenate(parts)).tolist()
+
+
 def test_toxicity_edges(spark, frame):
     schema = "doc_id long, quality int, toxic int"
     none = spark.createDataFrame([], schema)
