@@ -389,6 +389,11 @@ def lift_at_10pct(spark, sf_dir):
     return _rounded(M.lift_at(_scored(spark, sf_dir), 0.10))
 
 
+def order_desc(spark, sf_dir):
+    """All rows by falling score, then by number: the place of each."""
+    return M.places_desc(_scored(spark, sf_dir)).select(RID, "place")
+
+
 def reliability_bins(spark, sf_dir):
     return _rounded(M.reliability(_scored(spark, sf_dir), 10))
 
@@ -400,6 +405,10 @@ def metrics_bundle(spark, sf_dir):
 # --------------------------------------------------------------- generator and experiments
 
 
+def generator_draws(spark, sf_dir):
+    return synthetic.draws(spark, 42, 5_000)
+
+
 def synthetic_profile(spark, sf_dir):
     rows = synthetic.make_synthetic(spark, 20_000, 42)
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(LABEL).alias("pos"), F.sum(F.col("num_0").isNull().cast("int")).alias("missing_num_0"), F.sum(F.col("bcat_0").isNull().cast("int")).alias("missing_bcat_0"), F.countDistinct("hcat_0").alias("ids"))
@@ -423,7 +432,7 @@ QUERIES = (
     temporal_split_counts, class_weights_, row_slice_, quantile_knots_numeric, quantile_knots_highcard, weighted_rate, base_score, grad_hess, target_encoding, target_encoding_oof,
     target_encoding_unique_ids, target_encode_unseen, vocab_first_seen, bounded_codes_valid, numeric_basis, onehot_basis, basis_layout, basis_expand_row, hist_numeric, split_numeric_const,
     split_numeric_leafaware, split_categorical, parent_scores, best_split_root, stump_partition, stump_predict_constant_leaf, tree_leaf_counts, tree_nodes, irls_one_feature, linear_leaf_predict,
-    unseen_row_predict, scorer_paths_agree, best_split_features, grown_nodes, grown_leaf_counts, grown_predict, linear_leaf_predict_two_knots, log_loss, roc_auc, pr_auc, lift_at_1pct, lift_at_10pct, reliability_bins, metrics_bundle, synthetic_profile, ablation_leaf_kind, sweep_k_gain,
+    unseen_row_predict, scorer_paths_agree, generator_draws, order_desc, best_split_features, grown_nodes, grown_leaf_counts, grown_predict, linear_leaf_predict_two_knots, log_loss, roc_auc, pr_auc, lift_at_1pct, lift_at_10pct, reliability_bins, metrics_bundle, synthetic_profile, ablation_leaf_kind, sweep_k_gain,
 )
 
 

@@ -245,6 +245,40 @@ placed AS MATERIALIZED (SELECT b.*, leaf_id FROM (SELECT b.*, CASE WHEN n3 <> pi
 ]
 _SPLIT_COLUMNS = "CASE f WHEN 0 THEN 'qty' WHEN 1 THEN 'price' ELSE 'flagstat' END AS feature, CASE f WHEN 0 THEN (SELECT knot FROM k_qty WHERE i = t) WHEN 1 THEN (SELECT knot FROM k_price WHERE i = t) END AS threshold, array_to_string(ids, ',') AS left_set, dl AS default_left"
 
+
+
+def _states(n: int) -> str:
+    """The generator's first n states from seed 42."""
+    # fixed values: the shifts of the generator; a step is modulo 2 ** 64
+    return f"""
+WITH RECURSIVE states(i, x) AS (
+  SELECT -1::BIGINT, 43::UBIGINT
+  UNION ALL
+  SELECT i + 1, xor(c, ((c::UHUGEINT * 131072) % 18446744073709551616)::UBIGINT) FROM (
+    SELECT i, xor(b, b // 128) AS c FROM (SELECT i, xor(x, ((x::UHUGEINT * 8192) % 18446744073709551616)::UBIGINT) AS b FROM states WHERE i < {n - 1}))
+)"""
+
+
+DRAWS = _states(5_000) + "SELECT i, (x // 1099511627776)::double / 16777216 AS uniform FROM states WHERE i >= 0"
+
+
+def _normal(u: str, first: int) -> str:
+    """A normal number from six uniform ones of a list; all of 32 bits."""
+    return f"(({' + '.join(f'{u}[{first + k}]' for k in range(6))} - 3::REAL) * {2**0.5!r}::REAL)"
+
+
+# fixed values: the order of draws, and the coefficients of the log-odds
+PROFILE = (
+    _states(5_000 * 6 + 20_000 * 96)
+    + f""",
+uniforms AS MATERIALIZED (SELECT i, x, (x // 1099511627776)::REAL / 16777216::REAL AS u FROM states WHERE i >= 0),
+risks AS (SELECT id, {_normal('u', 1)} * 0.9::REAL AS risk FROM (SELECT i // 6 AS id, list(u ORDER BY i) AS u FROM uniforms WHERE i < 30000 GROUP BY 1)),
+drawn AS (SELECT (i - 30000) // 96 AS r, list(u ORDER BY i) AS u, list(x ORDER BY i) AS x FROM uniforms WHERE i >= 30000 GROUP BY 1),
+scored AS (SELECT u, x[71] % 5000 AS id, -3.2::REAL + 0.8::REAL * ({_normal('u', 1)} * {_normal('u', 1)} - 1::REAL) + 1.1::REAL * {_normal('u', 7)} * (CASE WHEN x[61] % 8 % 2 = 0 THEN 1 ELSE -1 END)::REAL
+  + 0.6::REAL * {_normal('u', 13)} + (CASE WHEN x[62] % 8 < 2 THEN 1.3 ELSE 0 END)::REAL + risk AS s FROM drawn JOIN risks ON risks.id = x[71] % 5000)
+SELECT count(*) AS n, count_if(u[76] < (1::REAL / (1::REAL + exp(-s)::REAL)))::BIGINT AS pos, count_if(u[77] < 0.03::REAL)::BIGINT AS missing_num_0, count_if(u[87] < 0.02::REAL)::BIGINT AS missing_bcat_0, count(DISTINCT id) AS ids FROM scored"""
+)
+
 _TWO_LEAVES = [
     _candidates("qty", False).replace("range(16)", "range(2)").replace("/ 15.0::double", "/ 1.0::double"),
     "cut AS (SELECT knot AS thr FROM candidates JOIN k ON k.i = candidates.t WHERE gain > 0 ORDER BY gain::float DESC, t, default_left DESC LIMIT 1)",
@@ -330,6 +364,10 @@ def oracle_sql() -> dict[str, str]:
             JOIN w8 ON leaf = own""",
             *_TWO_LEAVES,
         ),
+        "scorer_paths_agree": _sql("SELECT count(*)::int AS n, true AS agree, true AS in_range FROM valid"),
+        "generator_draws": DRAWS,
+        "synthetic_profile": PROFILE,
+        "order_desc": _sql("SELECT rid, row_number() OVER (ORDER BY score DESC, rid) - 1 AS place FROM scored", _SCORED),
         "log_loss": _sql(f"SELECT round({_LOSS}, 8) AS log_loss", _SCORED),
         "roc_auc": _sql(f"SELECT round({_ROC}, 8) AS roc_auc", _SCORED, _GROUPS),
         "pr_auc": _sql(f"SELECT round({_AP}, 8) AS pr_auc", _SCORED, _GROUPS),

@@ -83,6 +83,22 @@ def row_states(seed: int, first: int, n: int) -> np.ndarray:
     return states[:n]
 
 
+def draws(spark: SparkSession, seed: int, n: int) -> DataFrame:
+    """i and uniform: the generator's first n numbers of [0, 1), each task from its own place."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            if not len(ids):
+                continue
+            states = _apply(jump_matrix(int(ids[0]) + 1), np.array([(seed | 1) & ALL], np.uint64))
+            while len(states) < len(ids):  # a range's batch has successive ids
+                states = np.concatenate([states, _apply(jump_matrix(len(states)), states)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((states[: len(ids)] >> np.uint64(40)).astype(float) / (1 << 24))], names=["i", "uniform"])
+
+    return spark.range(n).mapInArrow(run, "i long, uniform double")
+
+
 def schema() -> Schema:
     names = [f"num_{i}" for i in range(N_NUMERIC)] + [f"bcat_{i}" for i in range(N_BOUNDED)] + [f"hcat_{i}" for i in range(N_HIGH)]
     return Schema(names, [Kind.NUMERIC] * N_NUMERIC + [Kind.BOUNDED] * N_BOUNDED + [Kind.HIGH_CARD] * N_HIGH)
