@@ -63,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark, "pipeline")
     for k, (name, step) in enumerate(STAGES):
         docs = stage.put(step(spark, docs, sf_dir), f"{k}-{name}")
+        stage.keep(f"{k}-{name}")
     return docs
