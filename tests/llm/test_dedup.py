@@ -140,6 +140,26 @@ def test_lines_edges(frame):
     assert line_report(frame([])).count() == 0
 
 
+# ------------------------------------------------------------------ filters
+
+
+def test_without_drops_the_keys_and_nothing_else(spark, frame):
+    from pyspark.sql import functions as F
+
+    from tessera.llm._common import Stage, maybe_among, without
+
+    rows = [(i, f"t{i}") for i in range(3000)] + [(None, "null"), (7, "again")]
+    gone = [i for i in range(0, 3000, 7)] + [None]
+    keys = Stage(spark, "test").put(spark.createDataFrame([(g,) for g in gone], "doc_id long"), "keys")
+    left = without(frame(rows, clash=True), F.col("doc_id"), keys)
+    assert sorted(r.doc_id for r in left.collect()) == [i for i in range(3000) if i % 7] and left.columns == frame([], clash=True).columns
+    # few others meet the keys
+    among = frame(rows).filter(maybe_among(keys)(F.col("doc_id"))).collect()
+    assert {r.doc_id for r in among} >= set(gone) and len(among) < len(gone) + 150
+    none = Stage(spark, "test").put(keys.limit(0), "none")
+    assert without(frame(rows), F.col("doc_id"), none).count() == len(rows)
+
+
 # ------------------------------------------------------------------ suffixes
 
 

@@ -460,6 +460,18 @@ def test_where_all_rows_are_labelled_any_stand_in_for_unlabelled(spark, frame, m
     assert (len(positive), len(clean)) == (20, 20) and Counter(w.tobytes() for w in mixed) == expected
 
 
+def test_sample_is_of_the_least_hashes_at_every_size(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.toxicity import _sample
+
+    ids = spark.range(5000).toDF("doc_id")
+    least = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id")).limit(60).collect()]
+    assert [r.doc_id for r in _sample(ids, 60, 5000).collect()] == least
+    assert "Filter" in _sample(ids, 60, 5000)._jdf.queryExecution().optimizedPlan().toString()
+    assert _sample(ids, 6000, 5000).count() == 5000
+
+
 def test_words_of_texts_of_several_mib():
     from tessera.llm.toxicity import word_ids
 
