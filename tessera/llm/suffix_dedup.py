@@ -317,7 +317,7 @@ HEAD = np.dtype([("key", "<u8"), ("rank", "<i8"), ("twin", "<i4"), ("at", "<i4")
 #: Contexts that share a key and are looked at by one task.
 CROWD = 4_096
 #: Kinds of context round an anchor, among a million of a task, from which it counts as frequent.
-FREQUENT = 256
+FREQUENT = 1_024
 
 
 def _key(common: bytes, least: int, most: int) -> int:
