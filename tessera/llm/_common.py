@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from tessera.sources.staging import Stage, shuffle_partitions
 
-__all__ = ["CHUNK", "maybe_among", "split_by", "without", "SPACES", "Rolling", "Stage", "chunks", "documents", "fresh", "grams", "mix", "separators", "shuffle_partitions", "small_batches", "sliding", "span_hashes", "utf8", "winnow", "word_hashes"]
+__all__ = [
+    "CHUNK", "Rolling", "SPACES", "Stage", "bitmap", "chunks", "documents", "filter_bits", "fresh",
+    "grams", "in_bitmap", "maybe_among", "mix", "separators", "shuffle_partitions", "sliding",
+    "small_batches", "span_hashes", "split_by", "utf8", "winnow", "without", "word_hashes",
+]
 
 #: Bytes of text that numpy works on at a time.
 CHUNK = 1 << 18

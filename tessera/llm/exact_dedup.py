@@ -158,10 +158,11 @@ def _local_groups(buckets: int):
                 old = found.get(key)
                 found[key] = new if old is None else _better(old, new)
             values = list(found.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int.from_bytes(k[28:32], "little") % buckets for k in found], pa.int32()), pa.array(list(found), pa.binary()), pa.array([v[0] for v in values], pa.bool_()), pa.array([v[1] for v in values], pa.int64()), pa.array([v[2] for v in values], pa.int64()), pa.array([v[3] for v in values], pa.int64())],
-                names=["bucket", "key", "has_id", "keep_id", "keep_uid", "group_size"],
-            )
+            bucket = [int.from_bytes(k[28:32], "little") % buckets for k in found]
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            columns = [pa.array([v[i] for v in values], kind) for i, kind in enumerate(kinds)]
+            names = ["bucket", "key", "has_id", "keep_id", "keep_uid", "group_size"]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(list(found), pa.binary()), *columns], names=names)
 
     return run
 
@@ -173,10 +174,9 @@ def _live(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
     entries = list(index.items())
     for lo in range(0, len(entries), 10_000):
         part = entries[lo : lo + 10_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in part], pa.binary()), pa.array([v[1] if v[0] else None for _, v in part], pa.int64()), pa.array([v[2] for _, v in part], pa.int64()), pa.array([v[3] for _, v in part], pa.int64())],
-            names=["key", "keep_id", "keep_uid", "group_size"],
-        )
+        keep_id = pa.array([v[1] if v[0] else None for _, v in part], pa.int64())
+        keep_uid, size = (pa.array([v[i] for _, v in part], pa.int64()) for i in (2, 3))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), keep_id, keep_uid, size], names=["key", "keep_id", "keep_uid", "group_size"])
 
 
 def _index_groups(batches):

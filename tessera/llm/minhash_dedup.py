@@ -161,9 +161,8 @@ def _sign(words: int, rows: int):
             if todo:
                 for (r, _), b, t in zip(todo, *signed([x for _, x in todo])):
                     bands[r], short[r] = b, t
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "short"]
-            )
+            columns = [pa.array(size), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_shingles", "digest", "bands", "short"])
 
     return run
 
@@ -428,7 +427,8 @@ def _digests_of(words: int):
         for batch in batches:
             sets = [s for _, s in shingle_sets(batch, words)]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([prints(s) for s in sets], pa.binary())], names=["digest", "members", "prints"])
+            columns = [digests, [s.tobytes() for s in sets], [prints(s) for s in sets]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["digest", "members", "prints"])
 
     return run
 

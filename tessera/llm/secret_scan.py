@@ -136,7 +136,8 @@ def _scan(path: str):
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2), kinds.count(3), hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_)))
             columns = list(zip(*rows)) or [[]] * 6
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
+            names = ["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     return run
 

@@ -577,7 +577,9 @@ def _repeat_cuts(length: int):
                 for m in members[1:]:
                     if left > furthest[m]:
                         furthest[m] = left
-                        who.append(a + m), lo.append(at[a + m] - left), hi.append(at[a + m] + right)
+                        who.append(a + m)
+                        lo.append(at[a + m] - left)
+                        hi.append(at[a + m] + right)
                 if len(who) > 1 << 16:
                     yield from _by_document(head["rank"][who], head["twin"][who], np.array(lo, np.int64), np.array(hi, np.int64))
                     who, lo, hi = [], [], []
@@ -607,8 +609,11 @@ def _apply(batches):
             left = raw.tobytes()
             if len(lo):
                 left = b"".join(left[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(raw)]))
-            sizes.append(len(raw)), removed.append(len(raw) - len(left)), spans.append(len(lo))
-            sums.append(hashlib.sha256(left).hexdigest()), texts.append(left)
+            sizes.append(len(raw))
+            removed.append(len(raw) - len(left))
+            spans.append(len(lo))
+            sums.append(hashlib.sha256(left).hexdigest())
+            texts.append(left)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.binary())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
