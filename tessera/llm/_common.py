@@ -28,7 +28,7 @@ CHUNK = 1 << 18
 LONG = 64
 #: ASCII white space of the word and line rules: space and 0x09 to 0x0D.
 SPACES = b" \t\n\x0b\x0c\r"
-SMALL_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+SMALL_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "128", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "1m"}
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 #: Masks of the first 0 to 8 bytes of a little-endian number.
